@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragline.llm import bpe, lines, mixing
+from cragline.llm import bpe, lines, mixing, neardup, quality
 from cragline.llm.common import materialise, table
 from cragline.llm.queries import tokenizer_path
 
 
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = quality.fit(table(spark, sf_dir, "documents"), quality.training_labels(table(spark, sf_dir, "labels"), 5, 0))
+    return quality.score(docs, model, "_score").where(F.col("_score") >= quality.CUT).select(*docs.columns)
+
+
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats of lines that stand in many sources go, and so do documents of which that leaves nothing."""
     cut = lines.remove_boilerplate(docs, removed="_removed")
     return cut.where((F.col("_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return neardup.one_of_each(docs)
+
+
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mixing.mix(docs)
@@ -26,7 +37,7 @@ def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.encode(docs, tokenizer_path()).select("doc_id", "source", "ids")
 
 
-STAGES = [("line dedup", stage_lines), ("mixing", stage_mix), ("bpe", stage_encode)]
+STAGES = [("quality", stage_quality), ("line dedup", stage_lines), ("near duplicates", stage_near_duplicates), ("mixing", stage_mix), ("bpe", stage_encode)]
 ORACLE_SQL = None
 
 

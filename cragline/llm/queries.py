@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing
+from . import bpe, lines, mixing, neardup, quality
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_table(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_table(table(spark, sf_dir, "documents"))
 
@@ -24,13 +28,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_table(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op5_mixing": op5_mixing,
+    "op8_quality": op8_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op5_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_near_dedup": neardup.ORACLE, "op3_line_dedup": lines.ORACLE, "op5_mixing": mixing.ORACLE}
