@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, neardup, quality
+from . import bpe, langid, lines, mixing, neardup, quality, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_table(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_table(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_table(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,8 +47,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_language": op4_language,
     "op5_mixing": op5_mixing,
     "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {"op1_near_dedup": neardup.ORACLE, "op3_line_dedup": lines.ORACLE, "op5_mixing": mixing.ORACLE}

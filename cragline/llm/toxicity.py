@@ -1,15 +1,17 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Labels are given by document. Words and word beginnings that stand in several toxic documents of the
-training sample and in next to no others mark the tokens to learn from; the field is then fitted to
-windows of tagged tokens, with features of the word, its first and last letters and transitions between tags, and so
-tags words it has not seen. Forward-backward over the whole text gives each token's chance of being
-toxic; runs of likely tokens are the offending spans, and their chances combine to the document's score.
+Labels are given by document. Words and word beginnings that toxic documents of the training sample
+hold far more often than others mark the tokens to learn from; the same tokens in other documents count
+as plain. The field is fitted to windows of tagged tokens, with features of the word, its first and last
+letters and transitions between tags, and so tags words it has not seen. Forward-backward over the
+whole text gives each token's chance of being toxic; runs of likely tokens are the offending spans. The
+chances are summed up for each document, and a logistic model on these sums, the largest chance and the
+length, fitted to the same sample, gives its score.
 
 Training reads labelled rows only, at most about ``BOUND`` of them, chosen by hash.
 
-Cases: null and empty texts have no tokens, score 0 and no spans; labels for unknown ids are not used;
-several labels of one id count as their largest; without toxic labels, or without others, all scores are 0; rows with null
+Cases: null and empty texts have no tokens, the score of no chance at all, and no spans; labels for unknown ids are not used;
+several labels of one id count as their largest; without toxic labels, or without others, all scores are next to 0; rows with null
 ids are scored and never learned from; repeated rows score alike; very long texts are tagged whole;
 extra columns pass by, those named like the ones added are replaced.
 """
@@ -33,8 +35,10 @@ from .quality import training_labels
 
 #: Labelled rows to learn from, at most; tokens in a training window; a document is toxic from this score on.
 BOUND, WINDOW, CUT = 4000, 24, 0.7
-#: A marking feature stands in so many toxic documents, and in so small a share of others as of toxic ones.
-SUPPORT, OTHERS = 4, 0.02
+#: A marking feature is so many times as frequent in toxic documents as in others, and so many standard deviations above chance.
+RATIO, DEVIATIONS = 5.0, 6.0
+#: Tokens from this chance on make up spans.
+LIKELY = 0.5
 ROUNDS, RATE, DECAY = 120, 0.15, 1e-4
 
 
@@ -48,8 +52,9 @@ def features(token: str) -> list[str]:
 class ToxicField:
     """Weights of features for the toxic tag against the plain one, and of steps between tags."""
 
-    def __init__(self, weights: dict[str, float], bias: float, steps: np.ndarray):
+    def __init__(self, weights: dict[str, float], bias: float, steps: np.ndarray, final: np.ndarray | None = None):
         self.weights, self.bias, self.steps = weights, bias, steps
+        self.final = np.array([-8.0, 0, 0, 0, 0]) if final is None else final
         self.tokens = Remembered(self.token, 1)
 
     def token(self, token: str) -> float:
@@ -77,23 +82,30 @@ class ToxicField:
         odds = lay.unpack(ahead * back)
         return odds / (1 + odds)
 
-    def tag(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
-        """Score and spans (start, end, chance) of each text."""
-        tokens = [(t or "").split() for t in texts]
+    def chances(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of all tokens one after another, and the sums over each text that scores are made of."""
         lengths = np.array([len(x) for x in tokens], np.int64)
         chance = self.marginals(self.tokens.look_up([w for x in tokens for w in x])[:, 0], lengths)
         self.tokens.trim()
-        ends, out = np.cumsum(lengths), []
+        owner, n = np.repeat(np.arange(len(tokens)), lengths), len(tokens)
+        none, most = np.bincount(owner, -np.log1p(-np.minimum(chance, 0.999)), minlength=n), np.zeros(n)
+        np.maximum.at(most, owner, chance)
+        return chance, np.stack([np.ones(n), np.log1p(none), most, 100 * none / np.maximum(lengths, 20), np.log1p(lengths)], 1)
+
+    def tag(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """Score and spans (start, end, chance) of each text."""
+        tokens = [(t or "").split() for t in texts]
+        chance, sums = self.chances(tokens)
+        scores = 1 / (1 + np.exp(-np.clip(sums @ self.final, -30, 30)))
+        ends, out = np.cumsum([len(x) for x in tokens]), []
         for i, text in enumerate(texts):
-            own = chance[ends[i] - lengths[i] : ends[i]]
-            likely = np.flatnonzero(own >= 0.5)
-            if not len(likely):
-                out.append((float(own.max()) if len(own) else 0.0, []))
-                continue
-            runs = np.split(likely, np.flatnonzero(np.diff(likely) > 1) + 1)
-            places = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-            spans = [(places[r[0]][0], places[r[-1]][1], float(own[r].max())) for r in runs]
-            out.append((1.0 - float(np.prod([1 - s[2] for s in spans])), spans))
+            own = chance[ends[i] - len(tokens[i]) : ends[i]]
+            likely, spans = np.flatnonzero(own >= LIKELY), []
+            if len(likely):
+                places = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+                runs = np.split(likely, np.flatnonzero(np.diff(likely) > 1) + 1)
+                spans = [(places[r[0]][0], places[r[-1]][1], float(own[r].max())) for r in runs]
+            out.append((float(scores[i]), spans))
         return out
 
 
@@ -103,7 +115,13 @@ def marks(docs: list[tuple[list[str], bool]]) -> set[str]:
     for tokens, toxic in docs:
         there[toxic].update({f for w in set(tokens) for f in features(w) if f[0] == "w" or len(f) >= 5 and f[0] == "p"})
     n = {k: max(1, sum(t is k for _, t in docs)) for k in there}
-    return {f for f, k in there[True].items() if k >= SUPPORT and there[False][f] / n[False] <= OTHERS * k / n[True]}
+    share, found = n[True] / (n[True] + n[False]), set()
+    for f, k in there[True].items():
+        both = k + there[False][f]
+        above = (k - both * share) / (both * share * (1 - share)) ** 0.5
+        if above >= DEVIATIONS and k / n[True] >= RATIO * there[False][f] / n[False]:
+            found.add(f)
+    return found
 
 
 def fit_documents(docs: list[tuple[str, bool]], seed: int = 5) -> ToxicField:
@@ -114,11 +132,11 @@ def fit_documents(docs: list[tuple[str, bool]], seed: int = 5) -> ToxicField:
     telling, rng = marks(split), np.random.default_rng(seed)
     windows, tags, plain = [], [], []
     for tokens, toxic in split:
-        t = np.array([toxic and any(f in telling for f in features(w)) for w in tokens], bool) if toxic else np.zeros(len(tokens), bool)
+        t = np.array([any(f in telling for f in features(w)) for w in tokens], bool)
         for i in range(0, len(tokens), WINDOW):
             if t[i : i + WINDOW].any():
                 windows.append(tokens[i : i + WINDOW])
-                tags.append(t[i : i + WINDOW])
+                tags.append(t[i : i + WINDOW] & toxic)
             elif not toxic:
                 plain.append(tokens[i : i + WINDOW])
     for i in rng.permutation(len(plain))[: max(4000, 2 * len(windows))]:
@@ -131,7 +149,18 @@ def fit_documents(docs: list[tuple[str, bool]], seed: int = 5) -> ToxicField:
     flat = [[ids[f] for f in w if f in ids] for x in named for w in x]
     token, feature = np.repeat(np.arange(len(flat)), [len(x) for x in flat]), np.array([i for x in flat for i in x], np.int64)
     gold = np.concatenate(tags).astype(float)
-    return _train(ids, lay, token, feature, gold)
+    field = _train(ids, lay, token, feature, gold)
+    field.final = _logistic(field.chances([t for t, _ in split])[1], np.array([x for _, x in split], float))
+    return field
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of the columns of x by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w)), x.T @ (y - p) / len(y) - ridge * w)
+    return w
 
 
 def _train(ids: dict[str, int], lay: Lockstep, token: np.ndarray, feature: np.ndarray, gold: np.ndarray) -> ToxicField:
@@ -182,7 +211,7 @@ def tag(docs: DataFrame, model: ToxicField) -> DataFrame:
     """docs with score and spans (start, end, chance)."""
     added = T._parse_datatype_string("score double, spans array<struct<start: int, end: int, chance: double>>").fields
     kept = [f for f in docs.schema if f.name not in {a.name for a in added}]
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.steps))  # features of a bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.steps, model.final))  # features of a bounded sample
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("chance", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
