@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, avi, bpe, langid, lines, mixing, neardup, quality, toxicity
+from . import ann, avi, bpe, langid, lines, mixing, neardup, pii, quality, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_table(table(spark, sf_dir, "documents"))
 
 
+def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_table(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_table(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_private": op2_private,
     "op3_line_dedup": op3_line_dedup,
     "op4_language": op4_language,
     "op5_mixing": op5_mixing,
