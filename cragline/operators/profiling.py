@@ -29,7 +29,7 @@ def mean_us(calls: Column, total: Column) -> Column:
 
 def attributed(funcs: DataFrame, stats: DataFrame) -> DataFrame:
     """Functions with bodies joined to their timings by path and display name; functions of one name each get the whole."""
-    own = funcs.where("has_body").withColumn("key", F.concat_ws("|", "path", "display_name"))
+    own = funcs.where("has_body").select("path", "ordinal", "display_name", "start_line", F.concat_ws("|", "path", "display_name").alias("key"))
     return own.join(stats, "key").select("path", "ordinal", "display_name", "start_line", "calls", "total_us", "min_us", "max_us")
 
 

@@ -13,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.paths import base_name, dir_name, stem
 from ..golang.walk import file_facts
 
-FACTS = T._parse_datatype_string("""
-    parse_ok boolean, parse_error string, package string,
+FACTS = """
+    path string, parse_ok boolean, parse_error string, package string,
     funcs array<struct<ordinal: int, name: string, recv: string, has_recv: boolean, exported: boolean, display_name: string, start_line: int, end_line: int,
         has_body: boolean, brace: int, decisions: array<struct<kind: string, line: int>>, nesting: array<int>,
         binds: array<struct<name: string, preorder: int>>, calls: array<struct<on: string, callee: string, preorder: int>>>>,
@@ -24,7 +24,7 @@ FACTS = T._parse_datatype_string("""
     literals array<struct<preorder: int, line: int, kind: string, lexeme: string, value: string, n_bytes: int>>,
     const_lines array<int>,
     marks array<struct<line: int, preorder: int>>,
-    names array<struct<name: string, n: long>>""")
+    names array<struct<name: string, n: long>>"""
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     A file costs one call of the parser whatever asks for its facts; rows are independent, so nothing is
     shuffled. Filter files before parsing: no filter moves through Python.
     """
-    arrow = to_arrow_schema(T.StructType([T.StructField("path", T.StringType()), *FACTS]))
+    schema = T.StructType.fromDDL(FACTS)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,7 +43,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 rows = [{"path": p} | file_facts(t) for p, t in zip(paths[i : i + 500], texts[i : i + 500], strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    facts = files.select("path", "content").mapInArrow(run, T.StructType([T.StructField("path", T.StringType()), *FACTS]))
+    facts = files.select("path", "content").mapInArrow(run, schema)
     return facts.withColumns({"pkg_dir": dir_name(F.col("path")), "base": base_name(F.col("path")), "stem": stem(F.col("path"))})
 
 
