@@ -6,7 +6,9 @@
    are paired with one pivot (first the node with the most copies, then one by another order), and
    only if no link has joined them yet: the pairs stay in proportion to the nodes.
 3. What is still apart in a bucket is then compared completely: all nodes outside the bucket's largest
-   component against all others, in blocks, without writing out the pairs.
+   component against all others, in blocks, without writing out the pairs. First signatures alone name the
+   nodes that have a surviving pair; then their full sets meet, each pair in the first band it shares, and a
+   block gives only such links as join components: fewer than it has nodes.
 4. Each comparison reads the signatures batch by batch. With a uniform prior the similarity's posterior
    after m equal values of n is a Beta; a pair is dropped as soon as the chance that it reaches the
    threshold falls below ``miss``. Survivors are verified on their full sets.
@@ -40,6 +42,8 @@ BANDS, ROWS = 32, 5
 STEP, MISS = 32, 1e-5
 #: Words a worker remembers; nodes in a block; rows up to which a side is broadcast (under 100 bytes each).
 MEMORY_WORDS, BLOCK, BROADCAST_ROWS = 500_000, 4096, 500_000
+#: Hashes in all sets of a block.
+BLOCK_ITEMS = 2_000_000
 #: Similarity of a link, in hundredths.
 PERCENT = 80
 
@@ -135,7 +139,7 @@ def text_key() -> Column:
 
 def bands(nodes: DataFrame) -> DataFrame:
     keys = [F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)]
-    return nodes.select("node", "copies", F.explode(F.array(*keys)).alias("key"))
+    return nodes.select("node", "copies", "n", F.posexplode(F.array(*keys)).alias("band", "key"))
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
@@ -156,10 +160,9 @@ def checked(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only the texts that pairs name reach Python."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = materialise(needed.join(nodes, "node").select("node", F.col("doc_id").alias("_id"), F.col("k").alias("_k")), "needed")
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node, items (the sorted set) of the nodes in wanted, written. Only their texts reach Python."""
+    needed = materialise(wanted.distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_id"), F.col("k").alias("_k")), "needed")
     own = docs.select("doc_id", "text", text_key().alias("k"))
     texts = own.join(checked(needed, needed.count()), own.doc_id.eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))).select("node", "text")
 
@@ -169,12 +172,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).view(np.int64) for t in found], pa.list_(pa.int64()))], ["node", "items"])
 
     sets = materialise(texts.mapInArrow(run, "node binary, items array<long>").dropDuplicates(["node"]), "sets")
+    discard(needed)
+    return sets
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, width)
     joined = pairs.join(sets.toDF("b", "items_b"), "b").join(sets.toDF("a", "items_a"), "a")
     common = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     links = joined.withColumn("common", common).where(F.col("common") * 100 >= F.lit(percent) * (F.size("items_a") + F.size("items_b") - F.col("common"))).select("a", "b")
     links = materialise(links, "links")
     discard(sets)
-    discard(needed)
     return links
 
 
@@ -206,33 +215,65 @@ def paired_with_pivot(members: DataFrame, order: Column) -> DataFrame:
     return members.join(pivots, "key").where(F.col("comp") != F.col("p.comp")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def still_apart(members: DataFrame, nodes: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
-    """(a, b): pairs in buckets of three or more that no link joins yet and whose signatures pass.
+def compared(group: pd.DataFrame, bounds: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows whose signatures it survives against) for a block's nodes outside the largest component.
 
-    A bucket's largest component is dealt out in blocks; nodes of its other components go to each
-    block. Buckets of two were done with the pivot.
+    Of the nodes that go to every block those that belong to this one (``here``) are compared with each other once. A pair is
+    left to the first band it shares.
     """
-    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("m"), F.max_by("comp", F.struct("n", "comp")).alias("major")).where("parts > 1 AND m > 2")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(len(group), -1)
+    comp, band = pd.factorize(group.comp)[0], int(group.band.iloc[0])
+    own, minor = group.here.to_numpy(), group.minor.to_numpy()
+    here = np.flatnonzero(own)
+    for i in np.flatnonzero(minor):
+        against = here[(comp[here] != comp[i]) & (~minor[here] | (here > i) | (not own[i]))]
+        against = against[survivors(np.broadcast_to(sig[i], (len(against), sig.shape[1])), sig[against], bounds)]
+        shared = (sig[i] == sig[against]).reshape(len(against), BANDS, ROWS).all(2)
+        yield i, against[shared.argmax(1) == band]
+
+
+def still_apart(members: DataFrame, nodes: DataFrame, docs: DataFrame, bounds: list[tuple[int, int]], width: int, percent: int) -> DataFrame:
+    """(a, b): links between nodes of a bucket that no link joins yet. Buckets of two were done with the pivot.
+
+    A bucket's largest component is dealt out in blocks of bounded size; nodes of its other components go to each block.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_items"))
+    buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n_nodes").alias("m"), F.sum("n_items").alias("items"), F.max_by("comp", F.struct("n_nodes", "comp")).alias("major")).where("parts > 1 AND m > 2")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
     rows = members.join(buckets, "key").withColumn("minor", F.col("comp") != F.col("major"))
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = rows.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).withColumn("here", (F.col("block") == own) | (~F.col("minor")))
-    rows = rows.select("key", "block", "node", "comp", "minor", "here").join(nodes.select("node", "sig"), "node")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(len(group), -1)
-        comp, names = pd.factorize(group.comp)[0], group.node.to_numpy()
-        here = np.flatnonzero(group.here.to_numpy())
-        minor = group.minor.to_numpy()
-        found = []
-        for i in np.flatnonzero(minor):
-            against = here[(comp[here] != comp[i]) & (~minor[here] | (here > i) | ~group.here.iloc[i])]
-            keep = against[survivors(np.broadcast_to(sig[i], (len(against), sig.shape[1])), sig[against], bounds)]
-            found += [(min(names[i], names[j]), max(names[i], names[j])) for j in keep]
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return rows.groupBy("key", "block").applyInPandas(run, "a binary, b binary").distinct()
+    rows = rows.select("key", "band", "block", "node", "comp", "minor", "here").join(nodes.select("node", "sig"), "node")
+
+    def take_part(group: pd.DataFrame) -> pd.DataFrame:
+        wanted = np.zeros(len(group), bool)
+        for i, found in compared(group, bounds):
+            wanted[found] = True
+            wanted[i] |= len(found) > 0
+        return group[wanted]
+
+    kept = "key long, band int, block int, node binary, comp binary, minor boolean, here boolean, sig binary"
+    rows = materialise(rows.select("key", "band", "block", "node", "comp", "minor", "here", "sig").groupBy("key", "block").applyInPandas(take_part, kept), "apart")
+    sets = full_sets(rows.select("node"), nodes, docs, width)
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        items, names, root = group["items"].to_numpy(), group.node.to_numpy(), pd.factorize(group.comp)[0]
+        out = []
+        for i, found in compared(group, bounds):
+            for j in found:
+                if root[i] != root[j]:
+                    least, most = sorted((len(items[i]), len(items[j])))
+                    if 100 * least >= percent * most:
+                        common = len(np.intersect1d(items[i], items[j], assume_unique=True))
+                        if 100 * common >= percent * (least + most - common):
+                            root[root == root[j]] = root[i]
+                            out.append((min(names[i], names[j]), max(names[i], names[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    links = materialise(rows.join(sets, "node").groupBy("key", "block").applyInPandas(link, "a binary, b binary").distinct(), "links")
+    discard(rows)
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
@@ -241,8 +282,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, mis
     bounds = least_matches(percent, miss)
     rows = materialise(signed(docs, width), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k"))
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("copies"), first.alias("at"), F.first("sig").alias("sig"))
-    nodes = materialise(nodes.select("node", "copies", "at.doc_id", "at.k", "sig"), "nodes")
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.count("*").alias("copies"), F.max("n").alias("n"), first.alias("at"), F.first("sig").alias("sig"))
+    nodes = materialise(nodes.select("node", "copies", "n", "at.doc_id", "at.k", "sig"), "nodes")
     own = bands(nodes)
     shared = own.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     members = materialise(own.join(shared, "key"), "members")
@@ -252,10 +293,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, mis
             at = members.withColumn("comp", F.col("node"))
         else:
             at = members.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        pairs = still_apart(at, nodes, bounds) if order is None else similar(paired_with_pivot(at, order), nodes, bounds)
-        pairs = materialise(pairs, "pairs")
-        more = verified(pairs, nodes, docs, width, percent)
-        discard(pairs)
+        if order is None:
+            more = still_apart(at, nodes, docs, bounds, width, percent)
+        else:
+            pairs = materialise(similar(paired_with_pivot(at, order), nodes, bounds), "pairs")
+            more = verified(pairs, nodes, docs, width, percent)
+            discard(pairs)
         links = more if links is None else links.union(more)
         comps = materialise(components(links), "components")
     discard(members)
