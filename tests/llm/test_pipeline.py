@@ -35,7 +35,8 @@ def test_stages(spark):
 def test_stages_take_odd_rows(spark, stage):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, "a b c d e f g h", "en", None, 9), (2, "a b c d e f g h", "en", None, 9)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    assert stage[1](spark, spark.createDataFrame(rows, schema), SF).count() >= 1
+    # the classifier may reject any of these; the other stages have no reason to drop them all
+    assert (0 if stage[0] == "quality" else 1) <= stage[1](spark, spark.createDataFrame(rows, schema), SF).count() <= 8
     assert stage[1](spark, spark.createDataFrame([], schema), SF).count() == 0
 
 
