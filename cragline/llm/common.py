@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Python processes the texts of an Arrow batch in slices of about this many characters.
 SLICE_CHARS = 4_000_000
+#: Rows up to which a side is broadcast; its callers' rows take under 100 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +78,11 @@ def bounded_sample(df: DataFrame, bound: int, seed: int, *keys: str) -> DataFram
     return df.where(F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 40) - 1)) < cut).limit(2 * bound)
 
 
+def checked(side: DataFrame, rows: int) -> DataFrame:
+    """side, to be broadcast if it has few rows of bounded width, else left to a shuffle join."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Parts of a batch whose texts together hold about ``limit`` characters, with these texts."""
     texts = batch.column(batch.schema.get_field_index(text)).to_pylist()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices
+from .common import checked, crc_mod, slices
 from .lockstep import Lockstep, Remembered
 
 #: Documents to learn from, a language.
@@ -70,29 +70,40 @@ def letters(token: str) -> str:
     return token.lower() if token.isalpha() else NOT_LETTERS.sub("", token).lower()
 
 
-def trigrams(word: str) -> list[str]:
-    padded = f"^{word}$"
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the trigrams of all words, each set in ^ and $, one word after another, and how many each word has: its length."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    c = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
+    starts = np.cumsum(lengths + 2) - lengths - 2
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    return codes[at], lengths
 
 
 class LanguageModel:
-    """Trigram log likelihoods and scripts by language."""
+    """Trigram log likelihoods and scripts by language. codes are sorted; the last row of table stands for all others."""
 
-    def __init__(self, languages: list[str], grams: dict[str, int], table: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.languages, self.grams, self.table, self.scripts = languages, grams, table, scripts
-        self.words = Remembered(self.word, len(languages) + 1)
+    def __init__(self, languages: list[str], codes: np.ndarray, table: np.ndarray, scripts: dict[str, np.ndarray]):
+        self.languages, self.codes, self.table, self.scripts = languages, codes, table, scripts
+        self.narrow = {k: u for k, u in scripts.items() if not u.all()}  # scripts that tell languages apart
+        self.words = Remembered(self.score, len(languages) + 1)
 
-    def word(self, token: str) -> np.ndarray:
+    def score(self, tokens: list[str]) -> np.ndarray:
         """Scores by language, best 0, then the number of letters. All 0 for a token without letters."""
-        out = np.zeros(len(self.languages) + 1, np.float32)
-        w = letters(token)
-        if w:
-            # the last row of the table stands for unseen trigrams
-            s = self.table[[self.grams.get(g, -1) for g in trigrams(w)]].sum(0)
-            usable = self.scripts.get(script_of(w))
-            if usable is not None:
-                s = np.where(usable, s, -np.inf)
-            out[:-1], out[-1] = np.maximum(s - s.max(), -CLIP), len(w)
+        out = np.zeros((len(tokens), len(self.languages) + 1), np.float32)
+        words = [letters(t) for t in tokens]
+        on = np.array([i for i, w in enumerate(words) if w], np.int64)
+        if len(on):
+            own = [words[i] for i in on]
+            grams, lengths = trigrams(own)
+            row = np.minimum(np.searchsorted(self.codes, grams), len(self.codes) - 1)
+            row = np.where(self.codes[row] == grams, row, len(self.codes))
+            s = np.add.reduceat(self.table[row], np.cumsum(lengths) - lengths)
+            for i, w in enumerate(own) if self.narrow else ():
+                mine = self.narrow.get("latin" if w.isascii() else script_of(w))
+                if mine is not None:
+                    s[i][~mine] = -np.inf
+            out[on, :-1], out[on, -1] = np.maximum(s - s.max(1, keepdims=True), -CLIP), lengths
         return out
 
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -129,7 +140,7 @@ class LanguageModel:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
         """Language, score and spans (language, start, end) of each text."""
-        if not self.languages:
+        if not len(self.codes):
             return [(UNKNOWN, 0.0, [])] * len(texts)
         tokens = [(t or "").split() for t in texts]
         lengths = np.array([len(x) for x in tokens], np.int64)
@@ -169,31 +180,32 @@ def fit_texts(rows: Iterable[tuple[str, str]]) -> LanguageModel:
     languages = sorted(words)
     counts, scripts = [], {s: np.zeros(len(languages)) for s in SCRIPTS}
     for i, lang in enumerate(languages):
-        grams: Counter = Counter()
+        tally: Counter = Counter()
         for token, n in words[lang].items():
-            w = letters(token)
-            if w:
-                for g in trigrams(w):
-                    grams[g] += n
-                if (s := script_of(w)) is not None:
-                    scripts[s][i] += n * len(w)
-        counts.append(grams)
-    names = sorted({g for c in counts for g in c})
-    table = np.zeros((len(names) + 1, len(languages)))
-    for i, c in enumerate(counts):
-        own = np.array([c.get(g, 0) for g in names] + [0], float) + 0.1
+            tally[letters(token)] += n
+        del tally[""]
+        own = list(tally)
+        grams, lengths = trigrams(own) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        counts.append((grams, np.repeat(np.array([tally[w] for w in own], float), lengths)))
+        for w, n in tally.items():
+            if (s := script_of(w)) is not None:
+                scripts[s][i] += n * len(w)
+    codes = np.unique(np.concatenate([g for g, _ in counts])) if counts else np.zeros(0, np.uint64)
+    table = np.zeros((len(codes) + 1, len(languages)))
+    for i, (grams, n) in enumerate(counts):
+        own = np.bincount(np.searchsorted(codes, grams), n, minlength=len(codes) + 1) + 0.1
         table[:, i] = np.log(own / own.sum())
     letters_of = sum(scripts.values()) if languages else np.zeros(0)
     # a language uses a script if a hundredth of its letters are of it
     used = {s: n >= 0.01 * np.maximum(letters_of, 1) for s, n in scripts.items()}
-    return LanguageModel(languages, {g: i for i, g in enumerate(names)}, table, {s: u for s, u in used.items() if u.any()})
+    return LanguageModel(languages, codes, table, {s: u for s, u in used.items() if u.any()})
 
 
 def fit(docs: DataFrame, bound: int = BOUND) -> LanguageModel:
     """Learns from text and lang of docs: about bound documents of each language, chosen by hash."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    chosen = rows.join(counts, "lang").where(F.xxhash64(F.lit(4), "text").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(float(1 << 40)) * bound / F.col("_n"))
+    chosen = rows.join(checked(counts, counts.count()), "lang").where(F.xxhash64(F.lit(4), "text").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(float(1 << 40)) * bound / F.col("_n"))
     return fit_texts(sorted((r.text, r.lang) for r in chosen.select("text", "lang").toLocalIterator()))
 
 
@@ -201,7 +213,7 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred, score and spans (lang, start, end)."""
     added = T._parse_datatype_string("lang_pred string, score double, spans array<struct<lang: string, start: int, end: int>>").fields
     kept = [f for f in docs.schema if f.name not in {a.name for a in added}]
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.grams, model.table, model.scripts))  # trigrams of a bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.codes, model.table, model.scripts))  # trigrams of a bounded sample
     span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

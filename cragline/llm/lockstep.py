@@ -38,27 +38,26 @@ class Lockstep:
 
 
 class Remembered(dict):
-    """Key -> row number of a growing table; rows are made on first sight. ``trim`` bounds it between slices."""
+    """Key -> row number of a growing table; the rows of new keys are made together. ``trim`` bounds it between slices."""
 
     def __init__(self, make, width: int, limit: int = 300_000):
         super().__init__()
         self.make, self.width, self.limit = make, width, limit
-        self.rows = np.zeros((1024, width), np.float32)
-
-    def __missing__(self, key: str) -> int:
-        n = len(self)
-        if n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[n] = self.make(key)
-        self[key] = n
-        return n
+        self.rows = np.zeros((0, width), np.float32)
 
     def look_up(self, keys: list[str]) -> np.ndarray:
-        """A row of the table for each key."""
+        """A row of the table for each key. make gets a list of new keys and gives their rows."""
+        new = list(set(keys).difference(self))
+        if new:
+            n = len(self)
+            if n + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:n], np.zeros((n + 2 * len(new), self.width), np.float32)])
+            self.rows[n : n + len(new)] = self.make(new)
+            self.update(zip(new, range(n, n + len(new)), strict=True))
         at = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
         return self.rows[at]
 
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
-            self.rows = np.zeros((1024, self.width), np.float32)
+            self.rows = np.zeros((0, self.width), np.float32)

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -35,13 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, slices
+from .common import checked, discard, materialise, slices
 
 BANDS, ROWS = 32, 5
 #: Values compared at a time, and the chance with which a pair at the threshold may be dropped.
 STEP, MISS = 32, 1e-5
-#: Words a worker remembers; nodes in a block; rows up to which a side is broadcast (under 100 bytes each).
-MEMORY_WORDS, BLOCK, BROADCAST_ROWS = 500_000, 4096, 500_000
+#: Words a worker remembers; nodes in a block.
+MEMORY_WORDS, BLOCK = 500_000, 4096
 #: Hashes in all sets of a block.
 BLOCK_ITEMS = 2_000_000
 #: Similarity of a link, in hundredths.
@@ -155,11 +156,6 @@ def similar(pairs: DataFrame, nodes: DataFrame, bounds: list[tuple[int, int]]) -
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def checked(side: DataFrame, rows: int) -> DataFrame:
-    """side, to be broadcast if it has few rows of bounded width, else left to a shuffle join."""
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
-
-
 def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """node, items (the sorted set) of the nodes in wanted, written. Only their texts reach Python."""
     needed = materialise(wanted.distinct().join(nodes, "node").select("node", F.col("doc_id").alias("_id"), F.col("k").alias("_k")), "needed")
@@ -287,20 +283,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, mis
     own = bands(nodes)
     shared = own.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     members = materialise(own.join(shared, "key"), "members")
-    links = comps = None
+    links: list[DataFrame] = []
+    comps = None
     for order in (-F.col("copies"), F.xxhash64("node"), None):
         if comps is None:
             at = members.withColumn("comp", F.col("node"))
         else:
             at = members.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         if order is None:
-            more = still_apart(at, nodes, docs, bounds, width, percent)
+            links.append(still_apart(at, nodes, docs, bounds, width, percent))
         else:
             pairs = materialise(similar(paired_with_pivot(at, order), nodes, bounds), "pairs")
-            more = verified(pairs, nodes, docs, width, percent)
+            links.append(verified(pairs, nodes, docs, width, percent))
             discard(pairs)
-        links = more if links is None else links.union(more)
-        comps = materialise(components(links), "components")
+        before, comps = comps, materialise(components(reduce(DataFrame.union, links)), "components")
+        if before is not None:
+            discard(before)
+    for done in links:
+        discard(done)
     discard(members)
     named = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -19,6 +19,7 @@ extra columns pass by, those named like the ones added are replaced.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ from .quality import training_labels
 BOUND, WINDOW, CUT = 4000, 24, 0.7
 #: A marking feature is so many times as frequent in toxic documents as in others, and so many standard deviations above chance.
 RATIO, DEVIATIONS = 5.0, 6.0
+#: Texts of fewer tokens are scored as if they had so many, as no others of their length were learned from.
+SHORTEST = 20
 #: Tokens from this chance on make up spans.
 LIKELY = 0.5
 ROUNDS, RATE, DECAY = 120, 0.15, 1e-4
@@ -55,11 +58,12 @@ class ToxicField:
     def __init__(self, weights: dict[str, float], bias: float, steps: np.ndarray, final: np.ndarray | None = None):
         self.weights, self.bias, self.steps = weights, bias, steps
         self.final = np.array([-8.0, 0, 0, 0, 0]) if final is None else final
-        self.tokens = Remembered(self.token, 1)
+        self.tokens = Remembered(self.score, 1)
 
-    def token(self, token: str) -> float:
-        found = features(token)
-        return self.bias + sum(self.weights.get(f, 0.0) for f in found) if found else self.bias
+    def score(self, tokens: list[str]) -> np.ndarray:
+        """What speaks for the toxic tag in each token."""
+        weight = self.weights.get
+        return np.array([[self.bias + sum(weight(f, 0.0) for f in features(w))] for w in tokens])
 
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The chance of the toxic tag for each token of texts one after another.
@@ -90,7 +94,7 @@ class ToxicField:
         owner, n = np.repeat(np.arange(len(tokens)), lengths), len(tokens)
         none, most = np.bincount(owner, -np.log1p(-np.minimum(chance, 0.999)), minlength=n), np.zeros(n)
         np.maximum.at(most, owner, chance)
-        return chance, np.stack([np.ones(n), np.log1p(none), most, 100 * none / np.maximum(lengths, 20), np.log1p(lengths)], 1)
+        return chance, np.stack([np.ones(n), np.log1p(none), most, 100 * none / np.maximum(lengths, SHORTEST), np.log1p(np.maximum(lengths, SHORTEST))], 1)
 
     def tag(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
         """Score and spans (start, end, chance) of each text."""
@@ -126,7 +130,7 @@ def marks(docs: list[tuple[list[str], bool]]) -> set[str]:
 
 def fit_documents(docs: list[tuple[str, bool]], seed: int = 5) -> ToxicField:
     """A field from texts marked as toxic or not."""
-    split = [(t.split(), x) for t, x in docs]
+    split = [([sys.intern(w) for w in t.split()], x) for t, x in docs]
     if not any(x for _, x in split) or all(x for _, x in split):
         return ToxicField({}, -30.0, np.zeros((2, 2)))
     telling, rng = marks(split), np.random.default_rng(seed)
