@@ -58,12 +58,12 @@ def draw(seed: str) -> Column:
 
 def rates(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, rate, copies and taken (copies * size)."""
-    sized = docs.drop(*ADDED).withColumn("size", word_count(F.col("text")))
+    sized = docs.drop(*ADDED).withColumn("size", word_count(F.col("text"))).withColumn("_draw", draw(seed))  # before the join, which then needs no text
     totals = source_targets(sized.select("source", "size"), weights, share, most)
     totals = totals.withColumnRenamed("source", "_source").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     joined = sized.join(totals, sized["source"].eqNullSafe(totals["_source"]), "left").drop("_source")
-    copies = F.floor("rate") + F.when(draw(seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    copies = F.floor("rate") + F.when(F.col("_draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return joined.withColumn("copies", copies.cast("long")).drop("_draw").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
