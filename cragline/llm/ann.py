@@ -7,8 +7,9 @@ chance of each bucket around the query is a product of slot chances; buckets are
 until the tables together reach the wanted chance of success. Distances to aim for come from a bounded
 sample, k from the number of rows.
 
-Candidates of a bucket meet its queries in blocks of bounded size, whatever the bucket's size; each block
-gives only its best for each query, by exact cosine, and these are merged. Of equal vectors only the few
+Buckets are packed into blocks of bounded size, whatever a bucket's size; a query goes once to each block that holds buckets it
+visits, and the block gives only its best for the query, by exact cosine, and none below what a bounded sample
+already guarantees. These are merged. Of equal vectors only the few
 smallest ids are indexed, as no result can hold more; equal queries are searched for once. A query that ends with too few results
 is compared with all rows, block by block.
 
@@ -108,38 +109,57 @@ def hashes_for(n: int) -> int:
     return min(10, max(1, round(log2(max(2.0, n / AIM)) / 2.2)))
 
 
-def aimed_distance(vectors: DataFrame, n: int, top: int) -> float:
-    """The distance of the top-th neighbour, 90th percentile, on a sample of at most about SAMPLE rows: there it is no smaller than in all."""
+def sampled(vectors: DataFrame) -> np.ndarray:
+    """Vectors of length 1 of the commonest size in a sample of at most about SAMPLE rows."""
     got = bounded_sample(vectors.select("vec_id", "embedding"), SAMPLE, 23, "vec_id").select("embedding").toArrow().column(0)
     sized: dict[int, list] = {}
     for v in got.to_pylist():
         sized.setdefault(len(v), []).append(v)
-    if not sized:
+    return unit(np.array(max(sized.values(), key=len), float)) if sized else np.zeros((0, 0))
+
+
+def aimed_distance(x: np.ndarray, top: int) -> float:
+    """The distance of the top-th neighbour in the sample, 90th percentile: in all rows it is no larger."""
+    if not len(x):
         return 1.0
-    x = unit(np.array(max(sized.values(), key=len), float))
     q = x[np.lexsort(x.T[:1])][:: max(1, len(x) // 200)]
     d = np.sort(np.sqrt(np.maximum(0, 2 - 2 * q @ x.T)), 1)[:, min(top, len(x) - 1)]
     return max(0.05, float(np.quantile(d, 0.9)))
 
 
 def best_of(queries: pa.Table, members: pa.Table, top: int) -> pa.Table:
-    """The best of a block's members for each query: by exact cosine, then by id."""
+    """The best of a block's members for each query among the buckets it visits: by exact cosine, then by id."""
     names = ["query", "vec_id", "score"]
+    nothing = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
     if not queries.num_rows or not members.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-    q, m = rows_of(queries["embedding"]), rows_of(members["embedding"])
-    uq, um, ids, out = unit(q), unit(m), members["vec_id"].to_numpy(), []
-    for i in range(0, len(q), 256):
-        s = uq[i : i + 256] @ um.T
-        least = np.partition(s, -top, 1)[:, -top] if s.shape[1] > top else np.full(len(s), -2.0)
-        a, b = np.nonzero(s >= least[:, None] - 1e-9)
-        score = cosine(q[i + a], m[b])
-        order = np.lexsort((ids[b], -score, a))
-        a, b, score = a[order], b[order], score[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        keep = rank < top
-        out.append((queries["query"].to_numpy()[i + a[keep]], ids[b[keep]], score[keep]))
-    return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], names)
+        return nothing
+    order = np.argsort(members["bucket"].to_numpy(), kind="stable")
+    m, q = rows_of(members["embedding"])[order], rows_of(queries["embedding"])
+    uq, um, ids, bucket = unit(q), unit(m), members["vec_id"].to_numpy()[order], members["bucket"].to_numpy()[order]
+    floor, who = queries["floor"].to_numpy(), queries["query"].to_numpy()
+    visits = queries["keys"].combine_chunks()
+    owner, wanted = np.repeat(np.arange(len(q)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()
+    by = np.argsort(wanted, kind="stable")
+    owner, wanted, parts = owner[by], wanted[by], []
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for a, b in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
+        lo, hi = np.searchsorted(wanted, bucket[a], "left"), np.searchsorted(wanted, bucket[a], "right")
+        for i in range(lo, hi, 256):
+            mine = owner[i : min(hi, i + 256)]
+            s = uq[mine] @ um[a:b].T
+            least = floor[mine]
+            if b - a > top:
+                least = np.maximum(least, np.partition(s, -top, 1)[:, -top])
+            x, y = np.nonzero(s >= least[:, None] - 1e-9)
+            parts.append((mine[x], a + y))
+    if not parts:
+        return nothing
+    x, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+    score = cosine(q[x], m[y]) if len(x) else np.zeros(0)
+    order = np.lexsort((ids[y], -score, x))
+    x, y, score = x[order], y[order], score[order]
+    keep = np.arange(len(x)) - np.searchsorted(x, x) < top
+    return pa.table([who[x[keep]], ids[y[keep]], score[keep]], names)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,12 +173,15 @@ def merged(parts: DataFrame, top: int) -> DataFrame:
 
 
 def meet(queries: DataFrame, members: DataFrame, top: int) -> DataFrame:
-    """Best pairs of queries (query, embedding, key) and members (vec_id, embedding, key) of a key, whose members are dealt out in blocks."""
-    counts = members.groupBy("key").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).select("key", "blocks")
-    left = queries.join(counts, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "query", "embedding")
-    right = members.join(counts.where("blocks > 1"), "key", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int")).select("key", "block", "vec_id", "embedding")
+    """Best pairs of queries (pack, query, embedding, floor, keys) and members (pack, bucket, vec_id, embedding) of a pack of buckets.
+
+    A pack with more rows than a block holds is dealt out in blocks, to each of which its queries go.
+    """
+    counts = members.groupBy("pack").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    left = queries.join(counts, "pack").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pack", "block", "query", "embedding", "floor", "keys")
+    right = members.join(counts.where("blocks > 1"), "pack", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int")).select("pack", "block", "bucket", "vec_id", "embedding")
     run = lambda a, b: best_of(a, b, top)
-    return left.groupBy("key", "block").cogroup(right.groupBy("key", "block")).applyInArrow(run, "query long, vec_id long, score double")
+    return left.groupBy("pack", "block").cogroup(right.groupBy("pack", "block")).applyInArrow(run, "query long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = 5, success: float = SUCCESS) -> DataFrame:
@@ -166,7 +189,9 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, success: float
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     vectors, queries = clean(vectors), clean(queries)
     n = vectors.count()
-    spread = aimed_distance(vectors, n, top) / WIDTH
+    sample = sampled(vectors)
+    spread, packs = aimed_distance(sample, top) / WIDTH, max(1, ceil(TABLES * n / BLOCK))
+    shared = vectors.sparkSession.sparkContext.broadcast(sample)  # of bounded size
     k, wanted = hashes_for(n), 1 - (1 - success) ** (1 / TABLES)
     alike = [F.xxhash64("embedding").alias("c1"), F.xxhash64(F.lit(5), "embedding").alias("c2")]
     # of equal vectors the top + 1 smallest ids; Spark limits them before the shuffle
@@ -185,26 +210,36 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, success: float
                 h = known.setdefault(int(size), Hashing(int(size), k))
                 slots = np.floor(h.places(unit(rows_of(part.column(1)))))
                 for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.keys(slots[:, t], t) * 4096 + int(size) % 4096), part.column(0), part.column(1)], ["key", "vec_id", "embedding"])
+                    keys = h.keys(slots[:, t], t) * 4096 + int(size) % 4096
+                    yield pa.RecordBatch.from_arrays([pa.array(keys % packs * 4096 + int(size) % 4096), pa.array(keys), part.column(0), part.column(1)], ["pack", "bucket", "vec_id", "embedding"])
 
     def probing(batches):
         known: dict[int, Hashing] = {}
         for batch in batches:
+            out: dict[str, list] = {"pack": [], "at": [], "floor": [], "keys": []}
             for i, v in enumerate(batch.column(1).to_pylist()):
                 h = known.setdefault(len(v), Hashing(len(v), k))
-                places = h.places(unit(np.array([v], float)))[0]
-                for t in range(TABLES):
-                    found, _ = probes(places[t], spread, wanted)
-                    keys = h.keys(np.array(found), t) * 4096 + len(v) % 4096
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array([i] * len(keys))), batch.column(1).take(pa.array([i] * len(keys)))], ["key", "query", "embedding"])
-
-    with_key = "key long, {} long, embedding " + dict(vectors.dtypes)["embedding"]
-    members = indexed.mapInArrow(bucketed, with_key.format("vec_id"))
-    visits = wanted_ones.mapInArrow(probing, with_key.format("query"))
+                u, here = unit(np.array([v], float)), shared.value
+                # the sample is part of the rows: no result is worse than its best
+                floor = float(np.sort(here @ u[0])[-top - 1]) - 1e-9 if here.shape[1:] == (len(v),) and len(here) > top else -2.0
+                places = h.places(u)[0]
+                keys = np.concatenate([h.keys(np.array(probes(places[t], spread, wanted)[0]), t) for t in range(TABLES)]) * 4096 + len(v) % 4096
+                pack = keys % packs * 4096 + len(v) % 4096
+                for p in np.unique(pack):
+                    out["pack"].append(int(p))
+                    out["at"].append(i)
+                    out["floor"].append(floor)
+                    out["keys"].append(keys[pack == p])
+            at = pa.array(out["at"], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out["pack"], pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(out["floor"], pa.float64()), pa.array(out["keys"], pa.list_(pa.int64()))], ["pack", "query", "embedding", "floor", "keys"])
+
+    kind = dict(vectors.dtypes)["embedding"]
+    members = indexed.mapInArrow(bucketed, f"pack long, bucket long, vec_id long, embedding {kind}")
+    visits = wanted_ones.mapInArrow(probing, f"pack long, query long, embedding {kind}, floor double, keys array<long>")
     found = materialise(merged(meet(visits, members, top + 1), top + 1), "found")
     # too few: against all rows of the same length, in blocks
-    short = wanted_ones.join(found.groupBy("query").agg(F.count("*").alias("m")), "query", "left").where(F.coalesce("m", F.lit(0)) < top + 1).select(F.size("embedding").cast("long").alias("key"), "query", "embedding")
-    rest = merged(meet(short, indexed.select(F.size("embedding").cast("long").alias("key"), "vec_id", "embedding"), top + 1), top + 1)
+    short = wanted_ones.join(found.groupBy("query").agg(F.count("*").alias("m")), "query", "left").where(F.coalesce("m", F.lit(0)) < top + 1).select(F.size("embedding").cast("long").alias("pack"), "query", "embedding", F.lit(-2.0).alias("floor"), F.array(F.size("embedding").cast("long")).alias("keys"))
+    rest = merged(meet(short, indexed.select(F.size("embedding").cast("long").alias("pack"), F.size("embedding").cast("long").alias("bucket"), "vec_id", "embedding"), top + 1), top + 1)
     both = merged(found.unionByName(rest), top + 1)
     mine = asked.join(first, ["c1", "c2"]).select(F.col("vec_id").alias("query_id"), "query").distinct()
     out = mine.join(both, "query").where(F.col("vec_id") != F.col("query_id"))
