@@ -10,8 +10,9 @@ sample, k from the number of rows.
 Buckets are packed into blocks of bounded size, whatever a bucket's size; a query goes once to each block that holds buckets it
 visits, and the block gives only its best for the query, by exact cosine, and none below what a bounded sample
 already guarantees. These are merged. Of equal vectors only the few
-smallest ids are indexed, as no result can hold more; equal queries are searched for once. A query that ends with too few results
-is compared with all rows, block by block.
+smallest ids are indexed, as no result can hold more; equal queries are searched for once. A query for which the most buckets it
+may visit don't reach the wanted chance visits none; it and any that ends with too few results are compared with all rows,
+block by block.
 
 Cases: vectors null, empty, zero, or with null or non-finite components take no part, nor do null ids; rows repeating
 an id count once with a query; vectors of another length are no candidates; ties go to the smaller id; with fewer candidates
@@ -104,6 +105,17 @@ def probes(places: np.ndarray, spread: float, wanted: float) -> tuple[list[tuple
     return out, total
 
 
+def visited(h: Hashing, places: np.ndarray, spread: float, wanted: float) -> np.ndarray | None:
+    """Keys of the buckets to visit in all tables; None if those of a table don't reach the wanted chance."""
+    out = []
+    for t in range(TABLES):
+        found, reached = probes(places[t], spread, wanted)
+        if reached < wanted:
+            return None
+        out.append(h.keys(np.array(found), t))
+    return np.concatenate(out)
+
+
 def hashes_for(n: int) -> int:
     """Projections a table, so that buckets hold about AIM rows: a slot tells a little over two bits."""
     return min(10, max(1, round(log2(max(2.0, n / AIM)) / 2.2)))
@@ -222,8 +234,10 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, success: float
                 u, here = unit(np.array([v], float)), shared.value
                 # the sample is part of the rows: no result is worse than its best
                 floor = float(np.sort(here @ u[0])[-top - 1]) - 1e-9 if here.shape[1:] == (len(v),) and len(here) > top else -2.0
-                places = h.places(u)[0]
-                keys = np.concatenate([h.keys(np.array(probes(places[t], spread, wanted)[0]), t) for t in range(TABLES)]) * 4096 + len(v) % 4096
+                keys = visited(h, h.places(u)[0], spread, wanted)
+                if keys is None:  # finds nothing here, so it is compared with all rows
+                    continue
+                keys = keys * 4096 + len(v) % 4096
                 pack = keys % packs * 4096 + len(v) % 4096
                 for p in np.unique(pack):
                     out["pack"].append(int(p))

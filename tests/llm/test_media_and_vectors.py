@@ -175,6 +175,19 @@ def test_recall(spark):
     assert len(got) == len(want) and len({x[:1] + x[2:3] for x in got} & {x[:1] + x[2:3] for x in want}) >= 0.9 * len(want)
 
 
+def test_queries_that_meet_the_cap_are_compared_with_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.normal(size=(500, 64)))]
+    # as on a large table: many projections, a sample of few of the rows, and many blocks
+    monkeypatch.setattr(ann, "hashes_for", lambda n: 8)
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    found, reached = ann.probes(ann.Hashing(64, 8).places(ann.unit(np.array([rows[0][1]])))[0, 0], 1.14, 0.65)
+    assert len(found) == ann.PROBES and reached < 0.65
+    got, want = neighbours(spark, rows), all_pairs(rows)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
+
+
 def test_neighbours_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [3.0, 0.0]), (1, [0.5, 0.0]), (7, [0.0, 1.0]), (8, [-1.0, 0.0]), (9, None), (10, []), (11, [0.0, 0.0]), (12, [float("nan"), 1.0]), (13, [None, 1.0]), (14, [float("inf"), 1.0]), (None, [1.0, 0.0]), (15, [1.0, 2.0, 3.0]), (100, None)]
     got = neighbours(spark, rows)
