@@ -1,8 +1,8 @@
 """Personal data: exact base patterns, and a character-level BiLSTM with CRF transitions that adds to them.
 
-Base spans come from the patterns of ``base_spans``. The network reads windows of characters around
-digits, at-signs and spelt-out at-signs, without which none of the four kinds exists; it tags each character as
-outside, first or further character of a kind. Windows overlap; where they do, a character takes the tag
+Base spans come from the patterns of ``base_spans``. The network reads windows of characters; it tags each character as
+outside, first or further character of a kind. A window is left out only if it can't matter: windows with digits, at-signs or the
+word "at" are read, without which no span of the four kinds is kept, and those next to them as far as tags go on. Windows overlap; where they do, a character takes the tag
 of the window in which it stands farthest from an edge, over the whole text, and spans are read off the joined tags.
 A span that overlaps a base span, or that lacks the digits, groups or checksum of its kind, is dropped. The network is
 trained in numpy (Adam, back-propagation through time, exact CRF gradients) on labelled spans; by default on
@@ -85,10 +85,9 @@ def base_spans(text: str) -> list[Span]:
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz@._%+-()[]{}<>:;,/\\'\"!?#*&=|$"
 EMBED, HIDDEN, WINDOW, STEP, BATCH = 12, 20, 96, 48, 2048
-#: Characters that a window shows on each side of what it was opened for; a wider gap opens another.
-MARGIN = 24
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further of each kind
-TRIGGER = re.compile(r"[0-9@]|[\[({<] ?(?:at|dot) ?[\])}>]|(?<= )at(?= \S{1,40} dot )|(?<= )dot(?= )", re.IGNORECASE)
+#: What a plausible span of any kind has in it.
+TRIGGER = re.compile(r"[0-9@]|\bat\b", re.IGNORECASE)
 
 
 def char_ids() -> dict[str, int]:
@@ -320,23 +319,48 @@ def default_tagger() -> Tagger:
 # ---------------------------------------------------------------- whole texts
 
 
+def last_window(text: str) -> int:
+    """Window number j reads WINDOW characters from place j * STEP on; the last one reaches the end."""
+    return max(0, -(-(len(text) - WINDOW) // STEP))
+
+
+def readers(first: int, end: int, last: int) -> range:
+    """The windows that read any of the characters from first to before end."""
+    return range(max(0, (first - WINDOW) // STEP + 1), min(last, (end - 1) // STEP) + 1)
+
+
+def stretch(text: str, j: int) -> tuple[int, int]:
+    return j * STEP, min(len(text), j * STEP + WINDOW)
+
+
+def opened(text: str) -> set[int]:
+    """The windows that read a trigger."""
+    last = last_window(text)
+    return {j for m in TRIGGER.finditer(text) for j in readers(m.start(), m.end(), last)}
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping stretches of at most WINDOW characters that cover all triggers with their margins."""
-    out: list[tuple[int, int]] = []
-    regions: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if regions and a <= regions[-1][1]:
-            regions[-1][1] = b
-        else:
-            regions.append([a, b])
-    for a, b in regions:
-        while True:
-            out.append((a, min(b, a + WINDOW)))
-            if a + WINDOW >= b:
-                break
-            a += STEP
-    return out
+    """The stretches that are read first: all windows with a trigger in them."""
+    return [stretch(text, j) for j in sorted(opened(text))]
+
+
+def settled(text: str, read: set[int]) -> list[int]:
+    """Numbers of the blocks of STEP characters whose windows have all been read."""
+    last = last_window(text)
+    return [k for k in sorted(read | {j + 1 for j in read}) if k * STEP < len(text) and read.issuperset(readers(k * STEP, min(len(text), (k + 1) * STEP), last))]
+
+
+def wanting(text: str, read: set[int], tags: np.ndarray) -> set[int]:
+    """The windows still to read, because a tagged run leaves the settled blocks."""
+    out: set[int] = set()
+    last = last_window(text)
+    for k in settled(text, read):
+        a, b = k * STEP, min(len(text), (k + 1) * STEP)
+        if b < len(text) and tags[b - 1]:
+            out.update(readers(b, min(len(text), b + STEP), last))
+        if a and tags[a] and tags[a] % 2 == 0:
+            out.update(readers(a - STEP, a, last))
+    return out - read
 
 
 def read_spans(tags: Sequence[int], at: int) -> Iterator[Span]:
@@ -354,6 +378,9 @@ def plausible(kind: int, s: str) -> bool:
     """Whether a tagged string has what its kind must have."""
     d = digits_of(s)
     if kind == 0:
+        # after a bare "at", a full stop and a blank end a sentence
+        if "@" not in s and not re.search(r"[\[({<] ?at ?[\])}>]", s, re.IGNORECASE) and not re.search(r"\bat\b.*?[A-Za-z0-9].*?(?:\.|\bdot\b\W*)[A-Za-z]{2}", s, re.IGNORECASE | re.DOTALL):
+            return False
         return bool(re.search(r"[A-Za-z0-9].*?(?:@|\bat\b).*?[A-Za-z0-9].*?(?:\.|\bdot\b)\W*[A-Za-z]{2}", s, re.IGNORECASE | re.DOTALL)) and len(s) < 120
     if kind == 1:
         parts = re.findall(r"[0-9]+", s)
@@ -364,26 +391,39 @@ def plausible(kind: int, s: str) -> bool:
 
 
 def added_spans(texts: Sequence[str], base: Sequence[list[Span]], model: Tagger) -> list[list[Span]]:
-    """What the network finds beside the base spans of each text."""
-    jobs = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)]
+    """What the network finds beside the base spans of each text.
+
+    The same as from all windows of the text: a plausible span has a trigger in it, so all windows around triggers
+    are read, and from there on as far as what is tagged goes.
+    """
     found: list[list[Span]] = [[] for _ in texts]
-    merged: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the text at hand: tags, and distances to the edge they come from
-    for j in range(0, len(jobs), BATCH):
-        batch = jobs[j : j + BATCH]
-        ids = np.zeros((len(batch), WINDOW), np.int64)
-        for r, (i, a, b) in enumerate(batch):
-            ids[r, : b - a] = encode(texts[i][a:b])
-        tags = model.decode(ids)
-        for r, (i, a, b) in enumerate(batch):
-            if i not in merged:
-                merged[i] = np.zeros(len(texts[i]), np.int8), np.full(len(texts[i]), -1, np.int16)
-            now, far = merged[i]
-            # an end of the text is no edge
-            place = np.arange(b - a)
-            depth = np.minimum(place + (WINDOW if a == 0 else 0), b - a - 1 - place + (WINDOW if b == len(texts[i]) else 0)).astype(np.int16)
-            better = depth > far[a:b]
-            now[a:b][better], far[a:b][better] = tags[r, : b - a][better], depth[better]
+    merged: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by text: tags, and distances to the edge they come from
+    read: dict[int, set[int]] = {}
+    jobs = [(i, j) for i, t in enumerate(texts) for j in sorted(opened(t))]
+    while jobs:
+        for at in range(0, len(jobs), BATCH):
+            batch = [(i, *stretch(texts[i], j)) for i, j in jobs[at : at + BATCH]]
+            ids = np.zeros((len(batch), WINDOW), np.int64)
+            for r, (i, a, b) in enumerate(batch):
+                ids[r, : b - a] = encode(texts[i][a:b])
+            tags = model.decode(ids)
+            for r, (i, a, b) in enumerate(batch):
+                if i not in merged:
+                    merged[i] = np.zeros(len(texts[i]), np.int8), np.full(len(texts[i]), -1, np.int16)
+                now, far = merged[i]
+                # an end of the text is no edge
+                place = np.arange(b - a)
+                depth = np.minimum(place + (WINDOW if a == 0 else 0), b - a - 1 - place + (WINDOW if b == len(texts[i]) else 0)).astype(np.int16)
+                better = depth > far[a:b]
+                now[a:b][better], far[a:b][better] = tags[r, : b - a][better], depth[better]
+        for i, j in jobs:
+            read.setdefault(i, set()).add(j)
+        jobs = [(i, j) for i in sorted({i for i, _ in jobs}) for j in sorted(wanting(texts[i], read[i], merged[i][0]))]
     for i, (now, _) in merged.items():
+        known = np.zeros(len(now), bool)
+        for k in settled(texts[i], read[i]):
+            known[k * STEP : (k + 1) * STEP] = True
+        now[~known] = 0
         taken = base[i]
         on = np.flatnonzero(now)
         for run in np.split(on, np.flatnonzero(np.diff(on) > 1) + 1) if len(on) else []:

@@ -141,6 +141,27 @@ def test_the_network_finds_what_patterns_miss(spark):
     assert pii.find(df.limit(0), m).count() == 0
 
 
+def test_long_and_spelt_out_addresses_are_read_whole(spark):
+    m, filler = pii.default_tagger(), "the other thing and that was all " * 4
+    known = ["alexandra.featherstonehaugh at mail dot com", "john [at] long-department-name-of-the-institute.example.com", "maximiliana.oberschlesinger-weissmann (at) mail (dot) com", "anna.lee at mail.example.com", "name at mail.example.com"]
+    texts = [*known, *(filler + x + " " + filler for x in known[:1] + known[2:]), (filler + "we met at home. Then we left. ") * 3]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
+    for i, t in enumerate(texts[:-1]):
+        a = next(t.index(x) for x in known if x in t)
+        b = a + len(next(x for x in known if x in t))
+        assert any(k == "email" and int(p) <= a and int(q) >= b for k, p, q in (x.split(":") for x in got[i].split(",") if x)), (t, got[i])
+    assert got[len(texts) - 1] == ""
+
+
+def test_spans_are_those_of_all_windows(monkeypatch):
+    m = pii.default_tagger()
+    texts = ["", "a", *("".join(x + " the thing " * (i % 9) for x, _ in pii.made_samples(8, 90 + i)) for i in range(60))]
+    base = [pii.base_spans(t) for t in texts]
+    got = pii.added_spans(texts, base, m)
+    monkeypatch.setattr(pii, "opened", lambda t: set(range(pii.last_window(t) + 1)) if t else set())
+    assert sum(map(len, got)) > 100 and got == pii.added_spans(texts, base, m)
+
+
 def test_windows_cover_all_triggers():
     text = ("x" * 200 + "5" * 300 + " " + "y" * 60) * 3 + "@"
     covered = np.zeros(len(text), bool)
