@@ -5,7 +5,7 @@ seen to use it. Each candidate gets the word's log likelihood by letter trigrams
 penalty for each switch joins words to spans of one language; a document's language is the one whose
 spans hold most letters, its score their share.
 
-Training reads, for each language, at most about ``BOUND`` whole documents, chosen by hash.
+Training reads, for each language, about ``BOUND`` whole documents, chosen by hash of id and text, and never over twice as many.
 
 Cases: null texts and texts without letters get ``und``, score 0 and no spans; words without letters go
 with the words around them; a script that no learned language uses leaves all of them as candidates;
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,10 +202,13 @@ def fit_texts(rows: Iterable[tuple[str, str]]) -> LanguageModel:
 
 
 def fit(docs: DataFrame, bound: int = BOUND) -> LanguageModel:
-    """Learns from text and lang of docs: about bound documents of each language, chosen by hash."""
+    """Learns from text and lang of docs: about bound documents of each language, chosen by hash of doc_id and text, twice as many at most."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    chosen = rows.join(checked(counts, counts.count()), "lang").where(F.xxhash64(F.lit(4), "text").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(float(1 << 40)) * bound / F.col("_n"))
+    drawn = F.xxhash64(F.lit(4), "doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1))
+    chosen = rows.join(checked(counts, counts.count()), "lang").withColumn("_h", drawn).where(F.col("_h") < F.lit(float(1 << 40)) * bound / F.col("_n"))
+    # only rows repeating an id and a text can reach the limit
+    chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("_r") <= 2 * bound)
     return fit_texts(sorted((r.text, r.lang) for r in chosen.select("text", "lang").toLocalIterator()))
 
 
@@ -229,5 +232,5 @@ def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def language_table(docs: DataFrame) -> DataFrame:
     fold = crc_mod(F.col("doc_id"), 4)
-    model = fit(docs.where(fold != 2).select("text", "lang"))
+    model = fit(docs.where(fold != 2).select("doc_id", "text", "lang"))
     return label(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))

@@ -121,6 +121,17 @@ def test_language_of_odd_rows(spark, model):
     assert langid.label(odd(spark, []), model).count() == 0
 
 
+def test_language_sample_of_repeated_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit_texts", list)
+    rows = [(i, "one text again and again" if i % 3 == 0 else f"text number {i}", "en") for i in range(3000)]
+    got = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert 10 < sum(t.startswith("one") for t, _ in got) < 70 and 60 < len(got) <= 200
+    tries = spark.range(2000).select(F.concat(F.lit("text "), F.col("id")).alias("text"))
+    least = tries.orderBy(F.xxhash64(F.lit(4), "text").bitwiseAND(F.lit((1 << 40) - 1))).first().text
+    same = spark.createDataFrame([(None, least, "en")] * 2000, "doc_id long, text string, lang string")
+    assert len(langid.fit(same, 100)) == 200
+
+
 def test_lockstep_keeps_order():
     lay = Lockstep(np.array([2, 0, 3]))
     assert lay.pack(np.array([10, 11, 30, 31, 32])).tolist() == [30, 10, 31, 11, 32] and lay.active.tolist() == [2, 2, 1]
