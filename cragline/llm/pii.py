@@ -1,24 +1,27 @@
 """Personal data: exact base patterns, and a character-level BiLSTM with CRF transitions that adds to them.
 
-Base spans come from the patterns of ``base_spans``. The network reads windows of characters; it tags each character as
-outside, first or further character of a kind. A window is left out only if it can't matter: windows with digits, at-signs or the
-word "at" are read, without which no span of the four kinds is kept, and those next to them as far as tags go on. Windows overlap; where they do, a character takes the tag
-of the window in which it stands farthest from an edge, over the whole text, and spans are read off the joined tags.
-A span that overlaps a base span, or that lacks the digits, groups or checksum of its kind, is dropped. The network is
+Base spans come from the patterns of ``base_spans``. The network reads every text whole, in windows that overlap by
+half of ``WINDOW - STEP`` on each side of where they are joined; it tags each character as outside, first or further
+character of a kind. A character takes the tag of the window in which it stands farthest from an edge, over the whole
+text, and spans are read off the joined tags. Their ends move out to the ends of the runs of address characters or digits they
+stand in. A span that overlaps a base span, or that lacks the form, digits, groups or checksum of its kind, is dropped. The network is
 trained in numpy (Adam, back-propagation through time, exact CRF gradients) on labelled spans; by default on
 ``made_samples``, generated from a seed.
 
-Cases: a null or empty text has no spans; repeated rows give equal rows; very long texts are read whole, window
-by window in batches of bounded size; spans of different kinds may overlap, base spans of one kind never do; an empty table
-gives an empty one; of other columns only doc_id and text are read. Places count code points, ends are exclusive.
+Cases: a null or empty text has no spans; repeated rows give equal rows, as do rows with a null doc_id; very long texts are read whole,
+window by window in batches of bounded size, in time that grows with their length; spans of different kinds may overlap, base spans
+of one kind never do, added ones overlap no others; an empty table gives an empty one; of other columns only doc_id and text are read.
+Places count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +70,18 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def is_byte(part: str) -> bool:
+    """Whether digits, of which there may be very many, say 255 at most."""
+    part = part.lstrip("0")
+    return len(part) < 4 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Base spans by start, then kind."""
     if not ANY.search(text):
         return []
     out = [(a, 0, b) for a, b in emails(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.groups())]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(is_byte, m.groups()))]
     for m in CARD.finditer(text):
         if m.end() - m.start() < 40 and 12 <= len(d := digits_of(m.group())) <= 19 and luhn(d):
             out.append((m.start(), 2, m.end()))
@@ -84,10 +93,9 @@ def base_spans(text: str) -> list[Span]:
 # ---------------------------------------------------------------- the network
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz@._%+-()[]{}<>:;,/\\'\"!?#*&=|$"
-EMBED, HIDDEN, WINDOW, STEP, BATCH = 12, 20, 96, 48, 2048
+#: Windows are read WINDOW characters long, each STEP after the one before; LEARNED is the length of those learned from.
+EMBED, HIDDEN, WINDOW, STEP, LEARNED, BATCH = 12, 20, 256, 192, 128, 1024
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further of each kind
-#: What a plausible span of any kind has in it.
-TRIGGER = re.compile(r"[0-9@]|\bat\b", re.IGNORECASE)
 
 
 def char_ids() -> dict[str, int]:
@@ -100,8 +108,17 @@ IDS = char_ids()
 SYMBOLS = 6 + len(LETTERS)
 
 
+@lru_cache(maxsize=1)
+def symbol_table() -> np.ndarray:
+    """The symbol of each code point."""
+    table = np.fromiter((2 if chr(i).isalpha() else 1 for i in range(0x110000)), np.uint8, 0x110000)
+    for c, i in IDS.items():
+        table[ord(c)] = i
+    return table
+
+
 def encode(text: str) -> np.ndarray:
-    return np.array([IDS.get(c) or (2 if c.isalpha() else 1) for c in text], np.int64)
+    return symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -154,23 +171,84 @@ class Tagger:
             keep |= {"e": e, "live": live, "h": h, **logs}
         return h @ self.p["out"] + self.p["out_b"]
 
+    def quick_scores(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """``scores`` of windows of falling length, without what training needs: (length, n, TAGS), beyond a window's end without meaning."""
+        kind, n = self.p["embed"].dtype.type, len(ids)
+        half = np.array([0.5, 0.5, 0.5, 1], kind)[:, None, None]  # a sigmoid is a tanh of half its place
+        steps, live = ids.shape[1], n - np.searchsorted(lengths[::-1], np.arange(ids.shape[1]), "right")
+        at, out = np.ascontiguousarray(ids.T, np.intp), np.zeros((steps, n, TAGS), kind)
+        gates = lambda w: np.ascontiguousarray(np.moveaxis(w.reshape(-1, 4, HIDDEN), 1, 0) * half)
+        for k, d in enumerate("fb"):
+            own, before, last = gates(self.p["embed"] @ self.p[f"x{d}"] + self.p[f"c{d}"]), gates(self.p[f"h{d}"]), np.ascontiguousarray(self.p["out"][k * HIDDEN : (k + 1) * HIDDEN])
+            h, c = np.zeros((n, HIDDEN), kind), np.zeros((n, HIDDEN), kind)
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                m = live[t]
+                z = np.matmul(h[:m], before)
+                for g in range(4):
+                    z[g] += own[g].take(at[t, :m], 0)
+                np.tanh(z, out=z)
+                z[:3] *= kind(0.5)
+                z[:3] += kind(0.5)
+                c[:m] *= z[0]
+                c[:m] += z[1] * z[3]
+                np.multiply(z[2], np.tanh(c[:m]), out=h[:m])
+                if d == "f":
+                    out[t, :m] = h[:m] @ last
+                else:
+                    out[t, :m] += h[:m] @ last
+        out += self.p["out_b"]
+        return out
+
+    def may_differ(self, s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The windows whose best path may have any tag but outside.
+
+        A run of other tags is worth no more than if its kind could change at each place: a path of three tags, outside, first
+        and further, each with the best score of any kind over outside, has runs at least as good.
+        """
+        step, start = self.steps()
+        at, kind = step[0, 0], s.dtype.type
+        enter, again, go_on, leave = (kind(x - at) for x in (step[0, 1::2].max(), step[1:, 1::2].max(), max(step[j, 2 * k + 2] for k in range(len(KINDS)) for j in (2 * k + 1, 2 * k + 2)), step[1:, 0].max()))
+        best = lambda t, first: np.maximum.reduce([s[t, :, k] for k in range(first, TAGS, 2)]) - s[t, :, 0]
+        first, further = best(0, 1) + kind(start[1::2].max() - start[0]), np.full(s.shape[1], -np.inf, s.dtype)
+        hit = np.maximum(first, further) > 0
+        for t in range(1, len(s)):
+            m = len(lengths) - np.searchsorted(lengths[::-1], t, "right")  # windows that have a place t
+            run = np.maximum(first, further)[:m]
+            hit[:m] |= run + leave > -1e-3
+            first[:m] = np.maximum(enter, run + again) + best(t, 1)[:m]
+            further[:m] = run + go_on + best(t, 2)[:m]
+            hit[:m] |= (np.maximum(first, further)[:m] > -1e-3) & (t == lengths[:m] - 1)
+        return hit
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tags (n, length); windows end with their padding, which any tag fits."""
-        s, (step, start) = self.scores(ids), self.steps()
-        n_steps, n = s.shape[:2]
-        v, back = s[0] + start, np.zeros(s.shape, np.int8)
+        """The best tags (n, length); windows end with their padding, which is outside."""
+        tags = np.zeros(ids.shape, np.int8)
+        if not len(ids):
+            return tags
+        lengths = (ids > 0).sum(1)
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        s = self.quick_scores(ids[order, : max(1, lengths[0])], lengths)
+        on = np.flatnonzero(self.may_differ(s, lengths))
+        if len(on):
+            tags[order[on], : s.shape[0]] = self.viterbi(np.ascontiguousarray(s[:, on].transpose(0, 2, 1)), lengths[on])
+        return tags
+
+    def viterbi(self, s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tags (n, length) for scores (length, TAGS, n) of windows of falling length, beyond which they are 0."""
+        (step, start), (n_steps, _, n) = self.steps(), s.shape
+        step, v = step.astype(s.dtype), np.empty_like(s)
+        v[0] = s[0] + start.astype(s.dtype)[:, None]
+        live = n - np.searchsorted(lengths[::-1], np.arange(n_steps), "right")
         for t in range(1, n_steps):
-            x = v[:, :, None] + step
-            back[t] = x.argmax(1)
-            best = x.max(1) + s[t]
-            pad = ids[:, t] == 0
-            v = np.where(pad[:, None], v, best)
-            back[t][pad] = np.arange(TAGS)
-        tags = np.zeros((n, n_steps), np.int8)
-        now = v.argmax(1)
+            m = live[t]
+            np.add((v[t - 1, :, None, :m] + step[:, :, None]).max(0), s[t, :, :m], out=v[t, :, :m])
+        tags, now = np.zeros((n, n_steps), np.int8), np.zeros(0, np.int64)
         for t in range(n_steps - 1, -1, -1):
-            tags[:, t] = now
-            now = back[t][np.arange(n), now]
+            m, known = live[t], len(now)  # windows that end here begin with their best tag
+            back = (v[t, :, :known] + step[:, now]).argmax(0) if known else now
+            now = np.r_[back, v[t, :, known:m].argmax(0)]
+            tags[:m, t] = now
         return tags
 
     def loss_and_gradient(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -240,23 +318,48 @@ class Tagger:
 Sample = tuple[str, list[Span]]
 
 
+ONSETS = [*"bbccddffgghhjkllmmnnpprrssttvvwwxyz", "qu", "ch", "sch", "th", "st", "tr", "br", "pl", "gr", "sh", "", "", ""]
+VOWELS = [*"aaeeeeiioouuy", "ie", "ei", "ou", "ea", "au", "ai"]
+CODAS = [*"bcdfgklmnnnprrsssttxz", "nd", "ng", "st", "ck", "ll", "ss", "rt", "nt", "ch"]
+
+
 def made_samples(n: int, seed: int) -> list[Sample]:
-    """Short texts of invented words with personal data in plain and altered forms, and with numbers that are none."""
+    """Short texts of invented words with personal data in plain and altered forms, and with numbers and words that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[rng.integers(len(xs))]
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    word = lambda: "".join(pick(["an", "er", "th", "on", "ing", "que", "sch", "ei", "ou", "ra", "ti", "lo", "mi", "é", "ü", "ñ", "st", "al", "do"]) for _ in range(rng.integers(1, 4)))
+    syllable = lambda: pick(ONSETS) + pick(VOWELS) + (pick(CODAS) if rng.random() < 0.5 else "")
+    plain = lambda: "".join(syllable() for _ in range(pick([1, 1, 2, 2, 3, 4])))
+
+    def word() -> str:
+        w, form = plain(), rng.integers(20)
+        if form < 2:
+            return w.title()
+        if form == 2:
+            return w.upper()
+        if form == 3:
+            return w[:1] + pick(["é", "ü", "ñ", "ö", "ш", "漢"]) + w[1:]
+        return w
+
+    stop = lambda: pick([" ", " ", " ", " ", " ", ", ", ". ", "\n", "; ", ": ", " - ", ".\n\n", "? ", " (", ") ", '" '])
 
     def email() -> str:
-        name = pick([word() + pick([".", "_", ""]) + word(), word() + num(2), word() + "." + num(2)]).translate(str.maketrans("éüñ", "eun"))
-        host, end = pick(["mail", "post", word().translate(str.maketrans("éüñ", "eun"))]) + pick(["", num(1)]), pick(["com", "org", "net", "example.com", "de", "co.uk"])
-        form = rng.integers(5)
+        name = pick([plain(), plain() + pick([".", "_", ""]) + plain(), plain() + num(2), plain() + "." + num(2), plain() + plain() + "." + plain() + plain() + pick(["", "-"]) + plain()])
+        host, end = pick(["mail", "post", plain(), plain() + "-" + plain() + "-of-" + plain()]) + pick(["", num(1)]), pick(["com", "org", "net", "example.com", "de", "co.uk"])
+        form, case = rng.integers(7), pick([str, str.upper])
         if form == 0:
             return f"{name}@{host}.{end}"
+        at, dot = case("at"), case("dot")
         if form == 1:
-            return f"{name} at {host} dot {end.replace('.', ' dot ')}"
+            return f"{name} {at} {host} {dot} {end.replace('.', f' {dot} ')}"
+        if form == 2:
+            j = pick(["-", "_", " ", " -"])
+            k = j[::-1]
+            return pick([f"{name}{j}{at}{k}{host}{j}{dot}{k}{end.replace('.', f'{j}{dot}{k}')}", f"{name} @ {host} . {end.replace('.', ' . ')}"])
+        if form == 3:
+            return f"{name} {at} {host}.{end}"
         o, c = pick(["()", "[]", "{}", "<>"])
-        return pick([f"{name}{o}at{c}{host}.{end}", f"{name} {o}at{c} {host} {o}dot{c} {end.replace('.', f' {o}dot{c} ')}", f"{name} {o}at{c} {host}.{end}"])
+        return pick([f"{name}{o}{at}{c}{host}.{end}", f"{name} {o}{at}{c} {host} {o}{dot}{c} {end.replace('.', f' {o}{dot}{c} ')}", f"{name} {o}{at}{c} {host}.{end}"])
 
     def ip() -> str:
         return pick([".", ".", "[.]", " . "]).join(str(rng.integers(1, 256)) for _ in range(4))
@@ -272,31 +375,31 @@ def made_samples(n: int, seed: int) -> list[Sample]:
         return pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {a} {b} {c}", f"00{num(2)} {a} {b} {c}", f"0{num(3)}/{num(7)}"])
 
     def other() -> str:
-        k = rng.integers(9)
+        k = rng.integers(13)
         hexa = "".join(pick("0123456789abcdef") for _ in range(rng.integers(12, 41)))
-        return [f"{num(1)}.{num(1)}.", f"version {num(1)}", f'token = "{hexa}"', f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:3{num(1)}", f"{num(2)},{num(2)}", num(int(rng.integers(1, 9))), f"at {word()}", f"{num(1)}.{num(2)}.{num(1)}"][k]
+        return [f"{num(1)}.{num(1)}.", f"version {num(1)}", f'token = "{hexa}"', f"20{num(2)}-0{num(1)}-1{num(1)}", f"1{num(1)}:3{num(1)}", f"{num(2)},{num(2)}", num(int(rng.integers(1, 9))), f"at {word()}", f"{num(1)}.{num(2)}.{num(1)}", f"{word()} at {word()} {word()}. {word().title()} dot", f"{word()}-{word()}_{word()}", f"https://{plain()}.{plain()}.com/{plain()}?{plain()}={num(2)}", "".join(pick("=*-_~") for _ in range(3)) * 4][k]
 
     makers, out = (email, ip, card, phone), []
     for _ in range(n):
         text, spans = "", []
         for j in range(rng.integers(1, 4)):
             text += pick(["", " "]) if j == 0 else " "
-            text += "".join(word() + pick([" ", " ", ", ", ". ", "\n"]) for _ in range(rng.integers(0, 4)))
-            k = int(rng.integers(6))
+            text += "".join(word() + stop() for _ in range(pick([0, 1, 2, 3, 5, 8, 12])))
+            k = int(rng.integers(8))
             made = makers[k]() if k < 4 else other()
-            if len(text) + len(made) > WINDOW - 10:
+            if len(text) + len(made) > LEARNED - 10:
                 break
             if k < 4:
                 spans.append((len(text), k, len(text) + len(made)))
             text += made + pick([" ", ".", ",", "!!", "***", "\n"])
-        out.append(((text + word())[:WINDOW], spans))
+        out.append(((text + word())[:LEARNED], spans))
     return out
 
 
 def as_arrays(samples: Sequence[Sample]) -> tuple[np.ndarray, np.ndarray]:
-    ids, gold = np.zeros((len(samples), WINDOW), np.int64), np.zeros((len(samples), WINDOW), np.int64)
+    ids, gold = np.zeros((len(samples), LEARNED), np.int64), np.zeros((len(samples), LEARNED), np.int64)
     for i, (text, spans) in enumerate(samples):
-        e = encode(text[:WINDOW])
+        e = encode(text[:LEARNED])
         ids[i, : len(e)] = e
         for a, k, b in spans:
             gold[i, a:b] = 2 + 2 * k
@@ -304,63 +407,50 @@ def as_arrays(samples: Sequence[Sample]) -> tuple[np.ndarray, np.ndarray]:
     return ids, gold
 
 
-def train(samples: Sequence[Sample], rounds: int = 7, seed: int = 3) -> Tagger:
+def train(samples: Sequence[Sample], rounds: int = 10, seed: int = 3) -> Tagger:
     model = Tagger(seed)
-    model.fit(*as_arrays([x for x in samples if x[0]]), rounds)
+    model.fit(*as_arrays([x for x in samples if x[0]]), rounds, 96, 0.03)
     model.p = {k: v.astype(np.float32) for k, v in model.p.items()}
     return model
 
 
 @lru_cache(maxsize=1)
 def default_tagger() -> Tagger:
-    return train(made_samples(1800, 1))
+    return train(made_samples(3000, 1))
 
 
 # ---------------------------------------------------------------- whole texts
 
 
-def last_window(text: str) -> int:
-    """Window number j reads WINDOW characters from place j * STEP on; the last one reaches the end."""
-    return max(0, -(-(len(text) - WINDOW) // STEP))
-
-
-def readers(first: int, end: int, last: int) -> range:
-    """The windows that read any of the characters from first to before end."""
-    return range(max(0, (first - WINDOW) // STEP + 1), min(last, (end - 1) // STEP) + 1)
-
-
-def stretch(text: str, j: int) -> tuple[int, int]:
-    return j * STEP, min(len(text), j * STEP + WINDOW)
-
-
-def opened(text: str) -> set[int]:
-    """The windows that read a trigger."""
-    last = last_window(text)
-    return {j for m in TRIGGER.finditer(text) for j in readers(m.start(), m.end(), last)}
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """The stretches that are read first: all windows with a trigger in them."""
-    return [stretch(text, j) for j in sorted(opened(text))]
-
-
-def settled(text: str, read: set[int]) -> list[int]:
-    """Numbers of the blocks of STEP characters whose windows have all been read."""
-    last = last_window(text)
-    return [k for k in sorted(read | {j + 1 for j in read}) if k * STEP < len(text) and read.issuperset(readers(k * STEP, min(len(text), (k + 1) * STEP), last))]
-
-
-def wanting(text: str, read: set[int], tags: np.ndarray) -> set[int]:
-    """The windows still to read, because a tagged run leaves the settled blocks."""
-    out: set[int] = set()
-    last = last_window(text)
-    for k in settled(text, read):
-        a, b = k * STEP, min(len(text), (k + 1) * STEP)
-        if b < len(text) and tags[b - 1]:
-            out.update(readers(b, min(len(text), b + STEP), last))
-        if a and tags[a] and tags[a] % 2 == 0:
-            out.update(readers(a - STEP, a, last))
-    return out - read
+def windows(length: int) -> np.ndarray:
+    """Where the windows of a text begin; the last one reaches its end."""
+    return np.arange(max(length > 0, 1 - (WINDOW - length) // STEP)) * STEP
+
+
+def tagged(texts: Sequence[str], model: Tagger) -> tuple[np.ndarray, np.ndarray]:
+    """The tags of all characters, one text after another, and where each text begins."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    total = int(lengths.sum())
+    symbols = np.concatenate([encode("".join(texts)), np.zeros(WINDOW, np.uint8)])
+    own = [windows(n) for n in lengths.tolist()]
+    first = np.concatenate([b + w for b, w in zip(begins, own, strict=True)]) if own else np.zeros(0, np.int64)
+    ends = np.repeat(begins + lengths, [len(w) for w in own])
+    size = np.minimum(WINDOW, ends - first)
+    # of two windows that overlap, each keeps the half of the overlap that is farther from its edge
+    a = first + np.where(np.r_[True, first[1:] >= ends[:-1]], 0, (WINDOW - STEP) // 2) if len(first) else first
+    b = np.where(first + size < ends, first + STEP + (WINDOW - STEP) // 2, ends)
+    tags, place = np.zeros(total, np.int8), np.arange(WINDOW)
+    order = np.argsort(-size, kind="stable")  # windows of a length together, so that few places are padding
+    for i in range(0, len(order), BATCH):
+        w = order[i : i + BATCH]
+        ids = symbols[first[w, None] + place]
+        ids[place >= size[w, None]] = 0
+        found = model.decode(ids)
+        for r in np.flatnonzero(found.any(1)):
+            k = w[r]
+            tags[a[k] : b[k]] = found[r, a[k] - first[k] : b[k] - first[k]]
+    return tags, begins
 
 
 def read_spans(tags: Sequence[int], at: int) -> Iterator[Span]:
@@ -374,64 +464,90 @@ def read_spans(tags: Sequence[int], at: int) -> Iterator[Span]:
             start, kind = i, (t - 1) // 2
 
 
+#: Ways to write "@" and "." in words or apart; a full stop with blanks counts only with blanks on both sides.
+SIGNS = re.compile(
+    r"(?P<at>(?<!\s)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|(?<![\s_-])[\s_-]+at[\s_-]+|(?<!\s)\s*@\s*)"
+    r"|(?<!\s)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<![\s_-])[\s_-]+dot[\s_-]+|(?<!\s)\s+\.\s+",
+    re.IGNORECASE,
+)
+TOP = re.compile(r"\.[A-Za-z]{2,}\Z")
+
+
+def addresses(s: str) -> list[tuple[int, int]]:
+    """Places of addresses in a tagged string, as found once its signs are written as such."""
+    out, at, size, parts, starts = [], 0, 0, [], [0]
+    places = [0]  # where in s the parts of the rewritten string begin, by their places in it
+    for m in SIGNS.finditer(s):
+        for piece, begin in ((s[at : m.start()], at), ("@" if m["at"] else ".", m.start())):
+            parts.append(piece)
+            starts.append(size)
+            places.append(begin)
+            size += len(piece)
+        at = m.end()
+    parts.append(s[at:])
+    starts.append(size)
+    places.append(at)
+    rewritten = "".join(parts)
+    for a, b in emails(rewritten):
+        if TOP.search(rewritten, a, b):
+            i, j = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+            out.append((places[i] + a - starts[i], places[j] + b - starts[j]))
+    return out
+
+
 def plausible(kind: int, s: str) -> bool:
-    """Whether a tagged string has what its kind must have."""
-    d = digits_of(s)
-    if kind == 0:
-        # after a bare "at", a full stop and a blank end a sentence
-        if "@" not in s and not re.search(r"[\[({<] ?at ?[\])}>]", s, re.IGNORECASE) and not re.search(r"\bat\b.*?[A-Za-z0-9].*?(?:\.|\bdot\b\W*)[A-Za-z]{2}", s, re.IGNORECASE | re.DOTALL):
-            return False
-        return bool(re.search(r"[A-Za-z0-9].*?(?:@|\bat\b).*?[A-Za-z0-9].*?(?:\.|\bdot\b)\W*[A-Za-z]{2}", s, re.IGNORECASE | re.DOTALL)) and len(s) < 120
+    """Whether a tagged string has what its kind must have, if that is no address."""
     if kind == 1:
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(p) < 4 and int(p) < 256 for p in parts)
+    d = digits_of(s)
     if kind == 2:
         return 12 <= len(d) <= 19 and luhn(d)
     return 9 <= len(d) <= 15 and len(s) > len(d) and not re.search(r"[A-Za-z]", s)
 
 
-def added_spans(texts: Sequence[str], base: Sequence[list[Span]], model: Tagger) -> list[list[Span]]:
-    """What the network finds beside the base spans of each text.
+DIGITS = frozenset("0123456789")
+HOST = LOCAL - frozenset("._%+")
 
-    The same as from all windows of the text: a plausible span has a trigger in it, so all windows around triggers
-    are read, and from there on as far as what is tagged goes.
-    """
+
+def whole(text: str, kind: int, a: int, b: int, least: int, most: int) -> tuple[int, int]:
+    """A tagged span without blanks and closing marks at its ends, moved out to the ends of its runs of characters within least and most."""
+    while a < b and text[a].isspace():
+        a += 1
+    while b > a and text[b - 1] in " \t\r\n.,;:!?*":
+        b -= 1
+    if a < b:
+        left, right = (LOCAL, HOST) if kind == 0 else (DIGITS, DIGITS)
+        if text[a] in left:
+            while a > least and text[a - 1] in left:
+                a -= 1
+        if text[b - 1] in right:
+            while b < most and text[b] in right:
+                b += 1
+    return a, b
+
+
+def added_spans(texts: Sequence[str], base: Sequence[list[Span]], model: Tagger) -> list[list[Span]]:
+    """What the network finds beside the base spans of each text."""
     found: list[list[Span]] = [[] for _ in texts]
-    merged: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by text: tags, and distances to the edge they come from
-    read: dict[int, set[int]] = {}
-    jobs = [(i, j) for i, t in enumerate(texts) for j in sorted(opened(t))]
-    while jobs:
-        for at in range(0, len(jobs), BATCH):
-            batch = [(i, *stretch(texts[i], j)) for i, j in jobs[at : at + BATCH]]
-            ids = np.zeros((len(batch), WINDOW), np.int64)
-            for r, (i, a, b) in enumerate(batch):
-                ids[r, : b - a] = encode(texts[i][a:b])
-            tags = model.decode(ids)
-            for r, (i, a, b) in enumerate(batch):
-                if i not in merged:
-                    merged[i] = np.zeros(len(texts[i]), np.int8), np.full(len(texts[i]), -1, np.int16)
-                now, far = merged[i]
-                # an end of the text is no edge
-                place = np.arange(b - a)
-                depth = np.minimum(place + (WINDOW if a == 0 else 0), b - a - 1 - place + (WINDOW if b == len(texts[i]) else 0)).astype(np.int16)
-                better = depth > far[a:b]
-                now[a:b][better], far[a:b][better] = tags[r, : b - a][better], depth[better]
-        for i, j in jobs:
-            read.setdefault(i, set()).add(j)
-        jobs = [(i, j) for i in sorted({i for i, _ in jobs}) for j in sorted(wanting(texts[i], read[i], merged[i][0]))]
-    for i, (now, _) in merged.items():
-        known = np.zeros(len(now), bool)
-        for k in settled(texts[i], read[i]):
-            known[k * STEP : (k + 1) * STEP] = True
-        now[~known] = 0
-        taken = base[i]
-        on = np.flatnonzero(now)
-        for run in np.split(on, np.flatnonzero(np.diff(on) > 1) + 1) if len(on) else []:
-            for a, k, b in read_spans(now[run[0] : run[-1] + 1].tolist(), int(run[0])):
-                s = texts[i][a:b]
-                a, b = a + len(s) - len(s.lstrip()), b - (len(s) - len(s.rstrip(" \t\r\n.,;:!?*")))
-                if a < b and not any(x < b and a < y for x, _, y in taken) and plausible(k, texts[i][a:b]):
-                    found[i].append((a, k, b))
+    tags, begins = tagged(texts, model)
+    on = np.flatnonzero(tags)
+    owner = np.searchsorted(begins, on, "right") - 1
+    cuts = np.flatnonzero((np.diff(on) > 1) | (np.diff(owner) > 0)) + 1
+    marked: dict[int, list[Span]] = {}
+    for run, i in zip(np.split(on, cuts), owner[np.r_[0, cuts]] if len(on) else (), strict=True) if len(on) else ():
+        marked.setdefault(int(i), []).extend(read_spans(tags[run[0] : run[-1] + 1].tolist(), int(run[0] - begins[i])))
+    for i, spans in marked.items():
+        text, taken, least = texts[i], base[i], 0
+        starts, reach = [x for x, _, _ in taken], list(accumulate((y for _, _, y in taken), max))
+        for j, (a, k, b) in enumerate(spans):
+            a, b = whole(text, k, a, b, least, spans[j + 1][0] if j + 1 < len(spans) else len(text))
+            for x, y in ((a + x, a + y) for x, y in addresses(text[a:b])) if k == 0 else ((a, b),) if plausible(k, text[a:b]) else ():
+                before = bisect_left(starts, y)
+                if x < y and (not before or reach[before - 1] <= x):
+                    found[i].append((x, k, y))
+                    least = y
+            least = max(least, spans[j][2])
     return found
 
 

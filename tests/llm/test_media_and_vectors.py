@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -130,7 +131,7 @@ def test_the_network_finds_what_patterns_miss(spark):
     for (text, spans), t in zip(test, tags, strict=True):
         got = set(pii.read_spans(t[: len(text)].tolist(), 0))
         hit, wrong, missed = hit + len(got & set(spans)), wrong + len(got - set(spans)), missed + len(set(spans) - got)
-    assert 2 * hit / (2 * hit + wrong + missed) > 0.85
+    assert 2 * hit / (2 * hit + wrong + missed) > 0.9
     filler = "and the other thing " * 30
     texts = ["write to (555) 123-4567 now", filler + "mail joe@x.org or anna.lee@mail.example.com" + filler, filler, None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -143,32 +144,76 @@ def test_the_network_finds_what_patterns_miss(spark):
 
 def test_long_and_spelt_out_addresses_are_read_whole(spark):
     m, filler = pii.default_tagger(), "the other thing and that was all " * 4
-    known = ["alexandra.featherstonehaugh at mail dot com", "john [at] long-department-name-of-the-institute.example.com", "maximiliana.oberschlesinger-weissmann (at) mail (dot) com", "anna.lee at mail.example.com", "name at mail.example.com"]
-    texts = [*known, *(filler + x + " " + filler for x in known[:1] + known[2:]), (filler + "we met at home. Then we left. ") * 3]
+    known = ["alexandra.featherstonehaugh at mail dot com", "john [at] long-department-name-of-the-institute.example.com", "maximiliana.oberschlesinger-weissmann (at) mail (dot) com", "anna.lee at mail.example.com", "name at mail.example.com", "jane AT mailbox.org", "jane -at- mailbox -dot- org", "jane_at_mailbox_dot_org"]
+    texts = [*(filler + x + " " + filler for x in known), *known, (filler + "we met at home. Then we left. ") * 3]
     got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()}
-    for i, t in enumerate(texts[:-1]):
-        a = next(t.index(x) for x in known if x in t)
-        b = a + len(next(x for x in known if x in t))
-        assert any(k == "email" and int(p) <= a and int(q) >= b for k, p, q in (x.split(":") for x in got[i].split(",") if x)), (t, got[i])
+    whole = [f"email:{t.index(x)}:{t.index(x) + len(x)}" in got[i].split(",") for i, (t, x) in enumerate(zip(texts, known * 2))]
+    # a model that learned: nearly all within a text, most without anything around them
+    assert sum(whole[: len(known)]) >= len(known) - 1 and sum(whole[len(known) :]) >= len(known) // 2, (whole, got)
     assert got[len(texts) - 1] == ""
 
 
-def test_spans_are_those_of_all_windows(monkeypatch):
+def test_best_paths_are_those_of_plain_decoding():
     m = pii.default_tagger()
-    texts = ["", "a", *("".join(x + " the thing " * (i % 9) for x, _ in pii.made_samples(8, 90 + i)) for i in range(60))]
-    base = [pii.base_spans(t) for t in texts]
-    got = pii.added_spans(texts, base, m)
-    monkeypatch.setattr(pii, "opened", lambda t: set(range(pii.last_window(t) + 1)) if t else set())
-    assert sum(map(len, got)) > 100 and got == pii.added_spans(texts, base, m)
-
-
-def test_windows_cover_all_triggers():
-    text = ("x" * 200 + "5" * 300 + " " + "y" * 60) * 3 + "@"
-    covered = np.zeros(len(text), bool)
-    for a, b in pii.windows(text):
-        assert 0 < b - a <= pii.WINDOW
-        covered[a:b] = True
-    assert all(covered[i] for i, c in enumerate(text) if c in "5@")
+    samples = [x for x in pii.made_samples(80, 91) if x[0]]
+    ids = pii.as_arrays(samples)[0]
+    got, (step, start) = m.decode(ids), m.steps()
+    assert (got > 0).any()
+    for row, tags in zip(ids, got, strict=True):
+        n = int((row > 0).sum())
+        s = m.scores(row[None, :n])[:, 0].astype(float)
+        v, back = s[0] + start, []
+        for t in range(1, n):
+            x = v[:, None] + step
+            back.append(x.argmax(0))
+            v = x.max(0) + s[t]
+        worth = s[0][tags[0]] + start[tags[0]] + sum(step[a, b] + s[t][b] for t, a, b in zip(range(1, n), tags, tags[1:n]))
+        assert np.isclose(worth, v.max(), atol=1e-2) and not tags[n:].any()
+
+
+def test_joined_windows_are_one_long_window(monkeypatch):
+    """Spans read window by window, against the same text decoded as one window."""
+    m = pii.default_tagger()
+    texts = [" and some more words here ".join(x for x, _ in pii.made_samples(30, 200 + i)) for i in range(20)]
+    got = pii.added_spans(texts, [[] for _ in texts], m)
+    assert all(len(t) > 3 * pii.WINDOW for t in texts)
+    monkeypatch.setattr(pii, "WINDOW", max(map(len, texts)))
+    one = pii.added_spans(texts, [[] for _ in texts], m)
+    same = sum(len(set(a) & set(b)) for a, b in zip(got, one, strict=True))
+    assert sum(map(len, one)) > 200 and same >= 0.97 * max(sum(map(len, got)), sum(map(len, one)))
+
+
+@pytest.mark.parametrize("lengths", [[0], [1, 0, 255, 256, 257, 448, 449, 3000], []])
+def test_windows_cover_every_place_once(lengths):
+    class Marks:
+        def decode(self, ids):
+            return (ids > 0).astype(np.int8)
+
+    tags, begins = pii.tagged(["x" * n for n in lengths], Marks())
+    assert tags.all() and len(tags) == sum(lengths) and len(begins) == len(lengths)
+    for n in lengths:
+        w = pii.windows(n)
+        assert not len(w) if n == 0 else w[-1] < n <= w[-1] + pii.WINDOW and (np.diff(w) == pii.STEP).all()
+
+
+def test_very_long_texts_and_parts(spark):
+    """A part of very many digits, and a text of 10 million characters with very many spans, in time that grows with it."""
+    m = pii.default_tagger()
+    digits = "1.2.3." + "0" * 5000 + "1"
+    assert pii.base_spans(digits) == [(0, 1, len(digits))] and not pii.base_spans("1.2.3." + "7" * 5000)
+    unit = "call +1 555 123 4567 or (555) 123-4567, write a.b@c.org or mia (at) mail (dot) com. "
+    took = []
+    for n in (1000, 8000):
+        text = unit * n
+        base = pii.base_spans(text)
+        began = time.process_time()
+        found = pii.added_spans([text], [base], m)[0]
+        took.append(time.process_time() - began)
+        assert len(base) == 2 * n and len(found) >= 1.9 * n and text[found[-1][0] : found[-1][2]]
+    assert took[1] < 16 * took[0]
+    rows = [(1, unit * 120_000), (None, unit), (None, unit), (2, digits)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()
+    assert sorted(r.n_email for r in got) == [0, 1, 1, 120_000] and got[1] == got[2]
 
 
 # ---------------------------------------------------------------- neighbours
