@@ -94,7 +94,7 @@ def base_spans(text: str) -> list[Span]:
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz@._%+-()[]{}<>:;,/\\'\"!?#*&=|$"
 #: Windows are read WINDOW characters long, each STEP after the one before; LEARNED is the length of those learned from.
-EMBED, HIDDEN, WINDOW, STEP, LEARNED, BATCH = 12, 20, 256, 192, 128, 1024
+EMBED, HIDDEN, WINDOW, STEP, LEARNED, BATCH = 12, 20, 512, 448, 128, 1024
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further of each kind
 
 
@@ -172,31 +172,35 @@ class Tagger:
         return h @ self.p["out"] + self.p["out_b"]
 
     def quick_scores(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """``scores`` of windows of falling length, without what training needs: (length, n, TAGS), beyond a window's end without meaning."""
-        kind, n = self.p["embed"].dtype.type, len(ids)
-        half = np.array([0.5, 0.5, 0.5, 1], kind)[:, None, None]  # a sigmoid is a tanh of half its place
-        steps, live = ids.shape[1], n - np.searchsorted(lengths[::-1], np.arange(ids.shape[1]), "right")
-        at, out = np.ascontiguousarray(ids.T, np.intp), np.zeros((steps, n, TAGS), kind)
-        gates = lambda w: np.ascontiguousarray(np.moveaxis(w.reshape(-1, 4, HIDDEN), 1, 0) * half)
+        """``scores`` of windows of falling length, without what training needs: (length, TAGS, n), beyond a window's end without meaning.
+
+        Windows lie along the last axis, so that a step is one product of weights with states and symbols side by side and every
+        gate is a block of its own. Gates are read as 1 + tanh, the halves of which are in the weights.
+        """
+        kind, n, steps = self.p["embed"].dtype.type, len(ids), ids.shape[1]
+        live = n - np.searchsorted(lengths[::-1], np.arange(steps), "right")
+        at, out, symbols = np.ascontiguousarray(ids.T, np.intp), np.zeros((steps, TAGS, n), kind), np.ascontiguousarray(self.p["embed"].T)
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], kind), HIDDEN)[:, None]
         for k, d in enumerate("fb"):
-            own, before, last = gates(self.p["embed"] @ self.p[f"x{d}"] + self.p[f"c{d}"]), gates(self.p[f"h{d}"]), np.ascontiguousarray(self.p["out"][k * HIDDEN : (k + 1) * HIDDEN])
-            h, c = np.zeros((n, HIDDEN), kind), np.zeros((n, HIDDEN), kind)
+            weights = np.concatenate([self.p[f"h{d}"].T * kind(0.5), self.p[f"x{d}"].T, self.p[f"c{d}"][:, None]], 1) * half
+            last = np.ascontiguousarray(self.p["out"][k * HIDDEN : (k + 1) * HIDDEN].T) * kind(0.5)
+            x, z = np.zeros((weights.shape[1], n), kind), np.empty((len(weights), n), kind)
+            h, e, c, y = x[:HIDDEN], x[HIDDEN:-1], np.zeros((HIDDEN, n), kind), np.empty((HIDDEN, n), kind)
+            x[-1] = 1
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 m = live[t]
-                z = np.matmul(h[:m], before)
-                for g in range(4):
-                    z[g] += own[g].take(at[t, :m], 0)
-                np.tanh(z, out=z)
-                z[:3] *= kind(0.5)
-                z[:3] += kind(0.5)
-                c[:m] *= z[0]
-                c[:m] += z[1] * z[3]
-                np.multiply(z[2], np.tanh(c[:m]), out=h[:m])
-                if d == "f":
-                    out[t, :m] = h[:m] @ last
-                else:
-                    out[t, :m] += h[:m] @ last
-        out += self.p["out_b"]
+                symbols.take(at[t], 1, e, "clip")
+                g = np.matmul(weights, x[:, :m], out=z[:, :m])
+                np.tanh(g, out=g)
+                g[: 3 * HIDDEN] += kind(1)
+                now = c[:, :m]
+                now *= g[:HIDDEN]
+                g[HIDDEN : 2 * HIDDEN] *= g[3 * HIDDEN :]
+                now += g[HIDDEN : 2 * HIDDEN]
+                now *= kind(0.5)
+                np.multiply(g[2 * HIDDEN : 3 * HIDDEN], np.tanh(now, out=y[:, :m]), out=h[:, :m])
+                out[t, :, :m] += last @ h[:, :m]
+        out += self.p["out_b"][:, None]
         return out
 
     def may_differ(self, s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -208,8 +212,8 @@ class Tagger:
         step, start = self.steps()
         at, kind = step[0, 0], s.dtype.type
         enter, again, go_on, leave = (kind(x - at) for x in (step[0, 1::2].max(), step[1:, 1::2].max(), max(step[j, 2 * k + 2] for k in range(len(KINDS)) for j in (2 * k + 1, 2 * k + 2)), step[1:, 0].max()))
-        best = lambda t, first: np.maximum.reduce([s[t, :, k] for k in range(first, TAGS, 2)]) - s[t, :, 0]
-        first, further = best(0, 1) + kind(start[1::2].max() - start[0]), np.full(s.shape[1], -np.inf, s.dtype)
+        best = lambda t, first: s[t, first::2].max(0) - s[t, 0]
+        first, further = best(0, 1) + kind(start[1::2].max() - start[0]), np.full(s.shape[2], -np.inf, s.dtype)
         hit = np.maximum(first, further) > 0
         for t in range(1, len(s)):
             m = len(lengths) - np.searchsorted(lengths[::-1], t, "right")  # windows that have a place t
@@ -231,7 +235,7 @@ class Tagger:
         s = self.quick_scores(ids[order, : max(1, lengths[0])], lengths)
         on = np.flatnonzero(self.may_differ(s, lengths))
         if len(on):
-            tags[order[on], : s.shape[0]] = self.viterbi(np.ascontiguousarray(s[:, on].transpose(0, 2, 1)), lengths[on])
+            tags[order[on], : s.shape[0]] = self.viterbi(np.ascontiguousarray(s[:, :, on]), lengths[on])
         return tags
 
     def viterbi(self, s: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -183,7 +183,7 @@ def test_joined_windows_are_one_long_window(monkeypatch):
     assert sum(map(len, one)) > 200 and same >= 0.97 * max(sum(map(len, got)), sum(map(len, one)))
 
 
-@pytest.mark.parametrize("lengths", [[0], [1, 0, 255, 256, 257, 448, 449, 3000], []])
+@pytest.mark.parametrize("lengths", [[0], [1, 0, 447, 448, 511, 512, 513, 960, 961, 3000], []])
 def test_windows_cover_every_place_once(lengths):
     class Marks:
         def decode(self, ids):
