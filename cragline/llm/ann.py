@@ -5,37 +5,41 @@ Vectors are scaled to length 1, where the nearest by distance are those of large
 vector's bucket. A neighbour's projections differ from the query's by normal deviates of known spread, so the
 chance of each bucket around the query is a product of slot chances; buckets are visited in falling order of it
 until the tables together reach the wanted chance of success. Distances to aim for come from a bounded
-sample, k from the number of rows.
+sample; k comes from the number of rows, and is lowered until nearly all of the sample reach that chance within the most
+buckets that a query may visit. So vectors without structure get larger buckets, not missed neighbours.
 
-Buckets are packed into blocks of bounded size, whatever a bucket's size; a query goes once to each block that holds buckets it
-visits, and the block gives only its best for the query, by exact cosine, and none below what a bounded sample
-already guarantees. These are merged. Of equal vectors only the few
+Buckets are dealt to packs, and a pack's members and the queries that visit it are both cut into blocks of bounded size, whatever a
+bucket's size; each pair of blocks is one task's group. It gives only its best for each query, by exact cosine, and none below what a
+bounded sample already guarantees. These are merged. Of equal vectors only the few
 smallest ids are indexed, as no result can hold more; equal queries are searched for once. A query for which the most buckets it
-may visit don't reach the wanted chance visits none; it and any that ends with too few results are compared with all rows,
+may visit still don't reach the wanted chance visits none; it and any that ends with too few results are compared with all rows,
 block by block.
 
 Cases: vectors null, empty, zero, or with null or non-finite components take no part, nor do null ids; rows repeating
 an id count once with a query; vectors of another length are no candidates; ties go to the smaller id; with fewer candidates
-than asked for, all are returned; an empty table gives an empty result; other columns are not read.
+than asked for, all are returned; an empty table gives an empty result; other columns are not read. Intermediate tables are deleted, the result's own stays
+in the session's scratch folder.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import ceil, erf, log2
+from math import ceil, erf, log2, prod
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialise
+from .common import bounded_sample, checked, discard, materialise, spread_out
 
 TABLES, WIDTH, SUCCESS = 4, 1.0, 0.985
 #: Rows in a bucket that k aims at, in a block at most, and in the sample that distances are measured on.
 AIM, BLOCK, SAMPLE = 150, 4096, 4000
-#: Buckets that a query visits in a table at most; a query for which these don't reach the chance is completed by blocks.
-PROBES = 4000
+#: Queries in a block at most, and buckets that they visit there.
+ASKED, VISITS = 1024, 200_000
+#: Buckets that a query visits in a table at most; k is such that they suffice for this share of a sample of so many vectors.
+PROBES, SUFFICE, TRIED = 4000, 0.95, 40
 
 
 def usable(vec: Column) -> Column:
@@ -91,17 +95,16 @@ def probes(places: np.ndarray, spread: float, wanted: float) -> tuple[list[tuple
     more in the last projection that was moved or a later one are reached, so each is reached once.
     """
     options = [slot_chances(p, spread) for p in places]
-    chance = lambda r: float(np.prod([o[i][0] for o, i in zip(options, r, strict=True)]))
     start = (0,) * len(options)
-    heap, out, total = [(-chance(start), start, 0)], [], 0.0
+    heap, out, total = [(-prod(o[0][0] for o in options), start, 0)], [], 0.0
     while heap and total < wanted and len(out) < PROBES:
         p, ranks, moved = heapq.heappop(heap)
         out.append(tuple(o[i][1] for o, i in zip(options, ranks, strict=True)))
         total -= p
         for j in range(moved, len(ranks)):
-            if ranks[j] + 1 < len(options[j]):
+            if ranks[j] + 1 < len(options[j]) and options[j][ranks[j] + 1][0] > 0:
                 nxt = ranks[:j] + (ranks[j] + 1,) + ranks[j + 1 :]
-                heapq.heappush(heap, (-chance(nxt), nxt, j))
+                heapq.heappush(heap, (p / options[j][ranks[j]][0] * options[j][ranks[j] + 1][0], nxt, j))
     return out, total
 
 
@@ -121,6 +124,21 @@ def hashes_for(n: int) -> int:
     return min(10, max(1, round(log2(max(2.0, n / AIM)) / 2.2)))
 
 
+def affordable(k: int, sample: np.ndarray, spread: float, wanted: float) -> int:
+    """The most projections, up to k, at which nearly all of a sample reach the wanted chance within the buckets they may visit."""
+    asked = sample[:: max(1, len(sample) // TRIED)][:TRIED]
+    while k > 1 and len(asked):
+        h, missed = Hashing(sample.shape[1], k), 0
+        for place in h.places(asked):
+            missed += probes(place[0], spread, wanted)[1] < wanted
+            if missed > (1 - SUFFICE) * len(asked):
+                break
+        else:
+            return k
+        k -= 1
+    return k
+
+
 def sampled(vectors: DataFrame) -> np.ndarray:
     """Vectors of length 1 of the commonest size in a sample of at most about SAMPLE rows."""
     got = bounded_sample(vectors.select("vec_id", "embedding"), SAMPLE, 23, "vec_id").select("embedding").toArrow().column(0)
@@ -184,16 +202,23 @@ def merged(parts: DataFrame, top: int) -> DataFrame:
     return once.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= top).drop("r")
 
 
-def meet(queries: DataFrame, members: DataFrame, top: int) -> DataFrame:
-    """Best pairs of queries (pack, query, embedding, floor, keys) and members (pack, bucket, vec_id, embedding) of a pack of buckets.
+def meet(visits: DataFrame, members: DataFrame, top: int) -> DataFrame:
+    """Best pairs of visits (pack, query, embedding, floor, keys) and members (pack, bucket, vec_id, embedding) of a pack of buckets.
 
-    A pack with more rows than a block holds is dealt out in blocks, to each of which its queries go.
+    Both sides of a pack are dealt out in blocks, and each block of one side meets each of the other. Packs nobody visits drop out.
     """
-    counts = members.groupBy("pack").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    left = queries.join(counts, "pack").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("pack", "block", "query", "embedding", "floor", "keys")
-    right = members.join(counts.where("blocks > 1"), "pack", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).cast("int")).select("pack", "block", "bucket", "vec_id", "embedding")
+    blocks = members.groupBy("pack").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    askers = visits.groupBy("pack").agg(F.ceil(F.greatest(F.count("*") / ASKED, F.sum(F.size("keys")) / VISITS)).cast("int").alias("askers"))
+    counts = materialise(blocks.join(askers.hint("merge"), "pack"), "counts")  # a row a pack
+    sizes = checked(counts, counts.count())
+    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.join(sizes, "pack").withColumn("askers", dealt("query", "askers")).withColumn("block", each("blocks")).select("pack", "block", "askers", "query", "embedding", "floor", "keys")
+    right = members.join(sizes, "pack").withColumn("block", dealt("vec_id", "blocks")).withColumn("askers", each("askers")).select("pack", "block", "askers", "bucket", "vec_id", "embedding")
     run = lambda a, b: best_of(a, b, top)
-    return left.groupBy("pack", "block").cogroup(right.groupBy("pack", "block")).applyInArrow(run, "query long, vec_id long, score double")
+    found = materialise(merged(left.groupBy("pack", "block", "askers").cogroup(right.groupBy("pack", "block", "askers")).applyInArrow(run, "query long, vec_id long, score double"), top), "found")
+    discard(counts)
+    return found
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = 5, success: float = SUCCESS) -> DataFrame:
@@ -204,7 +229,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, success: float
     sample = sampled(vectors)
     spread, packs = aimed_distance(sample, top) / WIDTH, max(1, ceil(TABLES * n / BLOCK))
     shared = vectors.sparkSession.sparkContext.broadcast(sample)  # of bounded size
-    k, wanted = hashes_for(n), 1 - (1 - success) ** (1 / TABLES)
+    wanted = 1 - (1 - success) ** (1 / TABLES)
+    k = affordable(hashes_for(n), sample, spread, wanted)
     alike = [F.xxhash64("embedding").alias("c1"), F.xxhash64(F.lit(5), "embedding").alias("c2")]
     # of equal vectors the top + 1 smallest ids; Spark limits them before the shuffle
     same = Window.partitionBy("c1", "c2").orderBy("vec_id")
@@ -249,16 +275,25 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 5, success: float
 
     kind = dict(vectors.dtypes)["embedding"]
     members = indexed.mapInArrow(bucketed, f"pack long, bucket long, vec_id long, embedding {kind}")
-    visits = wanted_ones.mapInArrow(probing, f"pack long, query long, embedding {kind}, floor double, keys array<long>")
-    found = materialise(merged(meet(visits, members, top + 1), top + 1), "found")
+    visits = materialise(spread_out(wanted_ones, "query").mapInArrow(probing, f"pack long, query long, embedding {kind}, floor double, keys array<long>"), "visits")
+    found = meet(visits, members, top + 1)
+    discard(visits)
     # too few: against all rows of the same length, in blocks
-    short = wanted_ones.join(found.groupBy("query").agg(F.count("*").alias("m")), "query", "left").where(F.coalesce("m", F.lit(0)) < top + 1).select(F.size("embedding").cast("long").alias("pack"), "query", "embedding", F.lit(-2.0).alias("floor"), F.array(F.size("embedding").cast("long")).alias("keys"))
-    rest = merged(meet(short, indexed.select(F.size("embedding").cast("long").alias("pack"), F.size("embedding").cast("long").alias("bucket"), "vec_id", "embedding"), top + 1), top + 1)
-    both = merged(found.unionByName(rest), top + 1)
+    size = F.size("embedding").cast("long")
+    enough = found.groupBy("query").agg(F.count("*").alias("m")).where(F.col("m") > top).select("query")
+    short = materialise(wanted_ones.join(enough, "query", "left_anti").select(size.alias("pack"), "query", "embedding", F.lit(-2.0).alias("floor"), F.array(size).alias("keys")), "short")
+    both, rest = found, None
+    if not short.isEmpty():
+        rest = meet(short, indexed.select(size.alias("pack"), size.alias("bucket"), "vec_id", "embedding"), top + 1)
+        both = merged(found.unionByName(rest), top + 1)
     mine = asked.join(first, ["c1", "c2"]).select(F.col("vec_id").alias("query_id"), "query").distinct()
     out = mine.join(both, "query").where(F.col("vec_id") != F.col("query_id"))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    result = materialise(ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score"), "neighbours")
+    for done in (indexed, wanted_ones, found, short, rest):
+        discard(done)
+    shared.unpersist()
+    return result
 
 
 def neighbour_table(vectors: DataFrame) -> DataFrame:

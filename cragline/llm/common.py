@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Python processes the texts of an Arrow batch in slices of about this many characters.
@@ -20,11 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of local sessions, by application.
+_local: dict[str, str] = {}
+_swept: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
     Only a local session, where there is one machine, may go without that setting: it gets a
-    temporary folder. A cluster without it is refused.
+    temporary folder, which goes when Python ends. A cluster without it is refused.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -34,48 +44,90 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="cragline-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="cragline-")
+        atexit.register(shutil.rmtree, _local[sc.applicationId], ignore_errors=True)
+    return _local[sc.applicationId]
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder of the application's own in the shared one. What is left in it goes when Python ends."""
+    folder = f"{shared_folder(spark)}/cragline-{spark.sparkContext.applicationId}"
+    if folder not in _swept:
+        _swept.add(folder)
+        atexit.register(_sweep, spark.sparkContext._gateway, spark.sparkContext._jsc.sc().hadoopConfiguration(), folder)
+    return folder
+
+
+def _sweep(gateway: Any, settings: Any, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone first
+        where = gateway.jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(settings).delete(where, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: the lineage ends there.
+    """df, written as Parquet in the scratch folder and read again: the lineage ends there.
 
-    ``drop_path(df)`` removes the files once nothing reads them any more.
+    ``discard`` removes the files once nothing reads them any more.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cragline_path = path
     return back
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame | None) -> None:
     """Deletes the files behind a frame made by ``materialise``."""
     path = getattr(df, "_cragline_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+    if df is not None and path:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over as many tasks as a shuffle has, for rows that are few but take long."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null where the id is null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def drawn(seed: int, *keys: str) -> Column:
+    """A hash of keys as a whole number of 40 bits."""
+    return F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 40) - 1))
+
+
 def bounded_sample(df: DataFrame, bound: int, seed: int, *keys: str) -> DataFrame:
     """About ``bound`` rows of df, chosen by a hash of ``keys``, or all of them if there are fewer.
 
-    The share comes from a count over all rows, so the choice needs no sort and no shuffle; twice
-    the bound is the hard limit, which only very many equal keys can reach.
+    The share comes from a count over all rows, so the choice needs no shuffle of them; twice
+    the bound, in the hash's order, is the hard limit, which only very many equal keys can reach.
     """
     n = df.count()
     if n <= bound:
         return df
-    cut = int(bound / n * (1 << 40))
-    return df.where(F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 40) - 1)) < cut).limit(2 * bound)
+    h = drawn(seed, *keys)
+    return df.where(h < int(bound / n * (1 << 40))).orderBy(h, *keys).limit(2 * bound)
+
+
+def bounded_texts(rows: DataFrame, bound: int, chars: int, seed: int, *keys: str) -> list[Row]:
+    """At most ``bound`` of rows, which are a sample, with at most ``chars`` characters of text together: the first by a hash of keys.
+
+    Lengths are gathered first, so that no more text than that comes to the driver.
+    """
+    order = [drawn(seed, *keys), F.length("text")]
+    sizes = [r.n or 0 for r in rows.select(order[0].alias("h"), order[1].alias("n")).orderBy("h", "n").limit(bound).collect()]
+    kept = sum(total <= chars for total in accumulate(sizes))
+    return rows.orderBy(*order).limit(kept).collect() if kept else []
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def checked(side: DataFrame, rows: int) -> DataFrame:
