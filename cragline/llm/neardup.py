@@ -6,9 +6,9 @@
    are paired with one pivot (first the node with the most copies, then one by another order), and
    only if no link has joined them yet: the pairs stay in proportion to the nodes.
 3. What is still apart in a bucket is then compared completely: all nodes outside the bucket's largest
-   component against all others, in blocks, without writing out the pairs. First signatures alone name the
-   nodes that have a surviving pair; then their full sets meet, each pair in the first band it shares, and a
-   block gives only such links as join components: fewer than it has nodes.
+   component against all nodes, in pairs of blocks of bounded size on either side, without writing out the pairs. First
+   signatures alone name the nodes that have a surviving pair; then their full sets meet, each pair in the first
+   band it shares, and a pair of blocks gives only such links as join components: fewer than it has nodes.
 4. Each comparison reads the signatures batch by batch. With a uniform prior the similarity's posterior
    after m equal values of n is a Beta; a pair is dropped as soon as the chance that it reaches the
    threshold falls below ``miss``. Survivors are verified on their full sets.
@@ -19,7 +19,8 @@ Cases: null texts and texts without words have an empty set and are linked with
 fewer words than a shingle has its whole word sequence as one; rows equal in id and text are kept or
 dropped alike; a null id takes no part in a component's smallest id, and a component in which all ids are
 null keeps its rows with a null component_id; ties go to the smaller id; an empty table gives an
-empty one; of other columns only doc_id and text are read.
+empty one; of other columns only doc_id and text are read, and ``one_of_each`` hands all of them on whatever they are called;
+very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ BANDS, ROWS = 32, 5
 #: Values compared at a time, and the chance with which a pair at the threshold may be dropped.
 STEP, MISS = 32, 1e-5
 #: Words a worker remembers; nodes in a block.
-MEMORY_WORDS, BLOCK = 500_000, 4096
+MEMORY_WORDS, BLOCK = 500_000, 512
 #: Hashes in all sets of a block.
-BLOCK_ITEMS = 2_000_000
-#: Similarity of a link, in hundredths.
-PERCENT = 80
+BLOCK_ITEMS = 1_000_000
+#: Similarity of a link, in hundredths; words of a shingle.
+PERCENT, WORDS = 80, 2
 
 
 class WordHashes(dict):
@@ -184,7 +185,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for all nodes in links (a, b)."""
+    """node, root (the smallest node reachable) for all nodes in links (a, b), written."""
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
@@ -201,7 +202,9 @@ def components(links: DataFrame) -> DataFrame:
         discard(edges)
         edges = after
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+            out = materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct()), "components")
+            discard(edges)
+            return out
         state = now
 
 
@@ -212,34 +215,45 @@ def paired_with_pivot(members: DataFrame, order: Column) -> DataFrame:
 
 
 def compared(group: pd.DataFrame, bounds: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, rows whose signatures it survives against) for a block's nodes outside the largest component.
+    """(row, rows whose signatures it survives against) for the nodes on the left side of a pair of blocks.
 
-    Of the nodes that go to every block those that belong to this one (``here``) are compared with each other once. A pair is
-    left to the first band it shares.
+    Of two nodes that are both outside the largest component the smaller one looks for the other. A pair is left to the first
+    band it shares.
     """
     sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(len(group), -1)
-    comp, band = pd.factorize(group.comp)[0], int(group.band.iloc[0])
-    own, minor = group.here.to_numpy(), group.minor.to_numpy()
-    here = np.flatnonzero(own)
-    for i in np.flatnonzero(minor):
-        against = here[(comp[here] != comp[i]) & (~minor[here] | (here > i) | (not own[i]))]
+    comp, band, rank = pd.factorize(group.comp)[0], int(group.band.iloc[0]), group.node.rank(method="dense").to_numpy()
+    minor, left = group.minor.to_numpy(), group.left.to_numpy()
+    right = np.flatnonzero(~left)
+    for i in np.flatnonzero(left):
+        against = right[(comp[right] != comp[i]) & (~minor[right] | (rank[right] > rank[i]))]
         against = against[survivors(np.broadcast_to(sig[i], (len(against), sig.shape[1])), sig[against], bounds)]
         shared = (sig[i] == sig[against]).reshape(len(against), BANDS, ROWS).all(2)
         yield i, against[shared.argmax(1) == band]
 
 
-def still_apart(members: DataFrame, nodes: DataFrame, docs: DataFrame, bounds: list[tuple[int, int]], width: int, percent: int) -> DataFrame:
-    """(a, b): links between nodes of a bucket that no link joins yet. Buckets of two were done with the pivot.
+def dealt(members: DataFrame) -> DataFrame:
+    """key, a, b, band, node, comp, minor, left: the nodes of each bucket in more than one component, in pairs (a, b) of blocks.
 
-    A bucket's largest component is dealt out in blocks of bounded size; nodes of its other components go to each block.
+    On the left are a bucket's nodes outside its largest component (``minor``), on the right all its nodes; either side is cut
+    into blocks of bounded size, and each block of one meets each of the other. Buckets of two nodes were done with the pivot.
     """
-    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n_nodes"), F.sum("n").alias("n_items"))
-    buckets = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n_nodes").alias("m"), F.sum("n_items").alias("items"), F.max_by("comp", F.struct("n_nodes", "comp")).alias("major")).where("parts > 1 AND m > 2")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("items") / BLOCK_ITEMS)).cast("int")
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("nodes"), F.sum("n").alias("items"))
+    sums = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("nodes").alias("nodes"), F.sum("items").alias("items"), F.max(F.struct("nodes", "comp", "items")).alias("major")).where("parts > 1 AND nodes > 2")
+    blocks = lambda nodes, items: F.ceil(F.greatest(nodes / BLOCK, items / BLOCK_ITEMS)).cast("int")
+    major = F.col("major")
+    buckets = sums.select("key", major["comp"].alias("major"), blocks(F.col("nodes") - major["nodes"], F.col("items") - major["items"]).alias("n_left"), blocks(F.col("nodes"), F.col("items")).alias("n_right"))
     rows = members.join(buckets, "key").withColumn("minor", F.col("comp") != F.col("major"))
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = rows.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))).withColumn("here", (F.col("block") == own) | (~F.col("minor")))
-    rows = rows.select("key", "band", "block", "node", "comp", "minor", "here").join(nodes.select("node", "sig"), "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda a, b, left: F.struct(a.alias("a"), b.alias("b"), F.lit(left).alias("left"))
+    on_right = F.transform(each("n_left"), lambda i: place(i, own("n_right"), False))
+    on_left = F.when(F.col("minor"), F.transform(each("n_right"), lambda j: place(own("n_left"), j, True))).otherwise(F.filter(on_right, lambda _: F.lit(False)))
+    return rows.select("key", "band", "node", "comp", "minor", F.explode(F.concat(on_right, on_left)).alias("at")).select("key", "at.a", "at.b", "band", "node", "comp", "minor", "at.left")
+
+
+def still_apart(members: DataFrame, nodes: DataFrame, docs: DataFrame, bounds: list[tuple[int, int]], width: int, percent: int) -> DataFrame:
+    """(a, b): links between nodes of a bucket that no link joins yet."""
+    rows = dealt(members).join(nodes.select("node", "sig"), "node")
 
     def take_part(group: pd.DataFrame) -> pd.DataFrame:
         wanted = np.zeros(len(group), bool)
@@ -248,8 +262,8 @@ def still_apart(members: DataFrame, nodes: DataFrame, docs: DataFrame, bounds: l
             wanted[i] |= len(found) > 0
         return group[wanted]
 
-    kept = "key long, band int, block int, node binary, comp binary, minor boolean, here boolean, sig binary"
-    rows = materialise(rows.select("key", "band", "block", "node", "comp", "minor", "here", "sig").groupBy("key", "block").applyInPandas(take_part, kept), "apart")
+    kept = "key long, a int, b int, band int, node binary, comp binary, minor boolean, left boolean, sig binary"
+    rows = materialise(rows.select("key", "a", "b", "band", "node", "comp", "minor", "left", "sig").groupBy("key", "a", "b").applyInPandas(take_part, kept), "apart")
     sets = full_sets(rows.select("node"), nodes, docs, width)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
@@ -266,13 +280,13 @@ def still_apart(members: DataFrame, nodes: DataFrame, docs: DataFrame, bounds: l
                             out.append((min(names[i], names[j]), max(names[i], names[j])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    links = materialise(rows.join(sets, "node").groupBy("key", "block").applyInPandas(link, "a binary, b binary").distinct(), "links")
+    links = materialise(rows.join(sets, "node").groupBy("key", "a", "b").applyInPandas(link, "a binary, b binary").distinct(), "links")
     discard(rows)
     discard(sets)
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """doc_id, k (hash of the text), n_shingles, component_id, kept (component_id is doc_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = least_matches(percent, miss)
@@ -296,32 +310,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, mis
             pairs = materialise(similar(paired_with_pivot(at, order), nodes, bounds), "pairs")
             links.append(verified(pairs, nodes, docs, width, percent))
             discard(pairs)
-        before, comps = comps, materialise(components(reduce(DataFrame.union, links)), "components")
-        if before is not None:
-            discard(before)
-    for done in links:
+        before, comps = comps, components(reduce(DataFrame.union, links))
+        discard(before)
+    for done in [*links, members]:
         discard(done)
-    discard(members)
     named = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(least, "root").select("node", "component_id")
     out = rows.select("doc_id", "k", "n", "node").join(by_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "k", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found = materialise(out.select("doc_id", "k", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "near-duplicates")
+    for done in (rows, nodes, comps):
+        discard(done)
+    return found
 
 
 def near_duplicate_table(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs, width=2).drop("k")
+    return near_duplicates(docs).drop("k")
 
 
-def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs without all but one row of each component of two rows or more; rows without words stay."""
+def one_of_each(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """docs without all but one row of each component of two rows or more; rows without words stay. Links are those of ``near_duplicates``."""
     found = near_duplicates(docs, width)
-    stay = found.where(F.col("kept") & (F.col("n_shingles") > 0)).dropDuplicates(["doc_id", "component_id"]).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"))
-    keyed = docs.withColumn("_key", text_key())
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    with_words = keyed.where(~wordless).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_key"])
-    return with_words.drop("_key").unionByName(docs.where(wordless))
+    stay = found.where(F.col("kept") & (F.col("n_shingles") > 0)).dropDuplicates(["doc_id", "component_id"]).select("doc_id", "k")
+    # the row travels as one column, so that no name of its own can clash
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("k"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"), F.struct("*").alias("row"))
+    own = keyed.where("worded").alias("d").join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.k") == F.col("s.k")), "left_semi").dropDuplicates(["doc_id", "k"])
+    return own.select("row").union(keyed.where("NOT worded").select("row")).select("row.*")
 
 
 #: Links by counting common shingles, components by walking links; for small tables.
