@@ -5,7 +5,8 @@ seen to use it. Each candidate gets the word's log likelihood by letter trigrams
 penalty for each switch joins words to spans of one language; a document's language is the one whose
 spans hold most letters, its score their share.
 
-Training reads, for each language, about ``BOUND`` whole documents, chosen by hash of id and text, and never over twice as many.
+Training reads, for each language, about ``BOUND`` whole documents, chosen by hash of id and text, never over twice as many, and no
+more than ``CHARS`` characters together.
 
 Cases: null texts and texts without letters get ``und``, score 0 and no spans; words without letters go
 with the words around them; a script that no learned language uses leaves all of them as candidates;
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked, crc_mod, slices
+from .common import bounded_texts, checked, crc_mod, drawn, slices
 from .lockstep import Lockstep, Remembered
 
-#: Documents to learn from, a language.
-BOUND = 700
+#: Documents to learn from, a language; characters in all of them together.
+BOUND, CHARS = 700, 40_000_000
 #: Log likelihood that a change of language costs; the most that one word may tell against a language.
 SWITCH, CLIP = 12.0, 6.0
 UNKNOWN = "und"
@@ -52,8 +53,6 @@ SCRIPTS = {
     "kana": [(0x3040, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)],
 }
-NOT_LETTERS = re.compile(r"[\W\d_]+")
-
 
 def script_of(word: str) -> str | None:
     """The script of a word's first letter that is in a known range."""
@@ -66,8 +65,8 @@ def script_of(word: str) -> str | None:
 
 
 def letters(token: str) -> str:
-    """A token without anything but letters, in lower case."""
-    return token.lower() if token.isalpha() else NOT_LETTERS.sub("", token).lower()
+    """A token without anything but letters, in lower case. Numerals, marks and signs are no letters, whatever their script."""
+    return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token)).lower()
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,14 +201,15 @@ def fit_texts(rows: Iterable[tuple[str, str]]) -> LanguageModel:
 
 
 def fit(docs: DataFrame, bound: int = BOUND) -> LanguageModel:
-    """Learns from text and lang of docs: about bound documents of each language, chosen by hash of doc_id and text, twice as many at most."""
+    """Learns from text and lang of docs: about bound documents of each language, chosen by hash of doc_id and text, twice as many at most, and CHARS characters."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
-    drawn = F.xxhash64(F.lit(4), "doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1))
-    chosen = rows.join(checked(counts, counts.count()), "lang").withColumn("_h", drawn).where(F.col("_h") < F.lit(float(1 << 40)) * bound / F.col("_n"))
+    n_languages = counts.count()
+    chosen = rows.join(checked(counts, n_languages), "lang").withColumn("_h", drawn(4, "doc_id", "text")).where(F.col("_h") < F.lit(float(1 << 40)) * bound / F.col("_n"))
     # only rows repeating an id and a text can reach the limit
     chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("_r") <= 2 * bound)
-    return fit_texts(sorted((r.text, r.lang) for r in chosen.select("text", "lang").toLocalIterator()))
+    kept = bounded_texts(chosen.select("doc_id", "text", "lang"), 2 * bound * n_languages, CHARS, 4, "doc_id", "text") if n_languages else []
+    return fit_texts(sorted((r.text, r.lang) for r in kept))
 
 
 def label(docs: DataFrame, model: LanguageModel) -> DataFrame:
