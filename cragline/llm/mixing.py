@@ -8,7 +8,8 @@ the skew, and their sums are made before the shuffle.
 Cases: a null or empty text has size 0 and its copies take no words; a null source is a source of
 its own, last in order; sources without words get target 0 and rate 0; rows that are equal in id and
 text draw alike, others apart; a null id draws as an empty one; an empty table gives an empty one;
-columns of the input named like the ones added are replaced.
+columns of the input named like the ones added are replaced by ``rates``, while ``mix`` hands all columns on, whatever they are
+called; very long texts count whole.
 """
 
 from __future__ import annotations
@@ -68,7 +69,8 @@ def rates(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The documents of the mix, each as often as it is taken."""
-    return rates(docs, **options).where(F.col("copies") > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    packed = docs.select("doc_id", "text", "source", F.struct("*").alias("row"))
+    return rates(packed, **options).where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def mixing_table(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ Training reads labelled rows only, at most about ``BOUND`` of them, chosen by ha
 Cases: null and empty texts have all statistics 0 and are scored like any text; labels for unknown ids
 are not used; several labels of one id count as their largest; without labels of both kinds the score is
 the share of label 1 (0.5 with none); rows with null ids are scored and never learned from; repeated rows
-get equal scores; extra columns pass by, those named like the ones added are replaced.
+get equal scores; very long texts are counted whole; extra columns pass by whatever they are called, but for one named like the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -62,8 +62,9 @@ def ratios() -> dict[str, Column]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    counted = docs.withColumns(statistics(F.coalesce(F.col("text"), F.lit(""))))
-    return counted.select(*docs.columns, *(c.alias(f"_s_{k}") for k, c in ratios().items()))
+    """row (all columns of docs, so that none can clash) and the statistics of its text."""
+    counted = docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in statistics(F.coalesce(F.col("text"), F.lit(""))).items()))
+    return counted.select("row", *(c.alias(f"_s_{k}") for k, c in ratios().items()))
 
 
 def grow(binned: np.ndarray, residual: np.ndarray, rows: np.ndarray, depth: int) -> list[list[tuple[int, bool, int]]]:
@@ -140,17 +141,24 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: int
     """Learns from the rows of labels (doc_id, column): at most about bound of them."""
     known = bounded_sample(labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).alias("_y")), bound, 8, "doc_id")
     known = known.groupBy("doc_id").agg(F.max("_y").alias("_y"))
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").drop("doc_id"))  # bounded above
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # bounded above
     names = list(ratios())
     # a bound on ids is none on rows if ids repeat
-    got = rows.select("_y", *(f"_s_{n}" for n in names)).limit(4 * bound).toPandas().to_numpy(float)
+    told = rows.select("row.doc_id", "row._y", *(f"_s_{n}" for n in names))
+    got = told.orderBy(*told.columns).limit(4 * bound).drop("doc_id").toPandas().to_numpy(float)
     got = got[np.lexsort(got.T)] if len(got) else got.reshape(0, len(names) + 1)
     return fit_rules(names, got[:, 1:], (got[:, 0] > 0).astype(float))
 
 
 def score(docs: DataFrame, model: RuleModel, to: str = "score") -> DataFrame:
+    """docs with a column of the chance of label 1."""
     scored = with_statistics(docs.drop(to))
-    return scored.withColumn(to, model.score()).drop(*(f"_s_{n}" for n in ratios()))
+    return scored.select("row.*", model.score().alias(to))
+
+
+def accepted(docs: DataFrame, model: RuleModel, cut: float = CUT) -> DataFrame:
+    """The rows of docs with scores from cut on."""
+    return with_statistics(docs).where(model.score() >= cut).select("row.*")
 
 
 def training_labels(labels: DataFrame, folds: int, held_out: int) -> DataFrame:

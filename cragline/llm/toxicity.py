@@ -8,7 +8,7 @@ whole text gives each token's chance of being toxic; runs of likely tokens are t
 chances are summed up for each document, and a logistic model on these sums, the largest chance and the
 length, fitted to the same sample, gives its score.
 
-Training reads labelled rows only, at most about ``BOUND`` of them, chosen by hash.
+Training reads labelled rows only, at most about ``BOUND`` of them, chosen by hash, with at most ``CHARS`` characters of text.
 
 Cases: null and empty texts have no tokens, the score of no chance at all, and no spans; labels for unknown ids are not used;
 several labels of one id count as their largest; without toxic labels, or without others, all scores are next to 0; rows with null
@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, crc_mod, slices
+from .common import bounded_sample, bounded_texts, crc_mod, slices
 from .langid import letters
 from .lockstep import Lockstep, Remembered
 from .quality import training_labels
 
-#: Labelled rows to learn from, at most; tokens in a training window; a document is toxic from this score on.
-BOUND, WINDOW, CUT = 4000, 24, 0.7
+#: Labelled rows to learn from, at most, and characters in them; tokens in a training window; a document is toxic from this score on.
+BOUND, CHARS, WINDOW, CUT = 4000, 40_000_000, 24, 0.7
 #: A marking feature is so many times as frequent in toxic documents as in others, and so many standard deviations above chance.
 RATIO, DEVIATIONS = 5.0, 6.0
 #: Texts of fewer tokens are scored as if they had so many, as no others of their length were learned from.
@@ -207,8 +207,8 @@ def _train(ids: dict[str, int], lay: Lockstep, token: np.ndarray, feature: np.nd
 def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> ToxicField:
     known = bounded_sample(labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").alias("_y")), bound, 9, "doc_id")
     known = known.groupBy("doc_id").agg(F.max("_y").alias("_y"))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "_y").limit(2 * bound)
-    return fit_documents(sorted((r.text, r._y > 0) for r in rows.toLocalIterator()))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "_y")  # known is bounded above
+    return fit_documents(sorted((r.text, r._y > 0) for r in bounded_texts(rows, 2 * bound, CHARS, 9, "doc_id", "text")))
 
 
 def tag(docs: DataFrame, model: ToxicField) -> DataFrame:
