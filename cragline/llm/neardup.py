@@ -43,9 +43,9 @@ BANDS, ROWS = 32, 5
 #: Values compared at a time, and the chance with which a pair at the threshold may be dropped.
 STEP, MISS = 32, 1e-5
 #: Words a worker remembers; nodes in a block.
-MEMORY_WORDS, BLOCK = 500_000, 512
+MEMORY_WORDS, BLOCK = 500_000, 2048
 #: Hashes in all sets of a block.
-BLOCK_ITEMS = 1_000_000
+BLOCK_ITEMS = 2_000_000
 #: Similarity of a link, in hundredths; words of a shingle.
 PERCENT, WORDS = 80, 2
 
@@ -222,9 +222,8 @@ def compared(group: pd.DataFrame, bounds: list[tuple[int, int]]) -> Iterator[tup
     """
     sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(len(group), -1)
     comp, band, rank = pd.factorize(group.comp)[0], int(group.band.iloc[0]), group.node.rank(method="dense").to_numpy()
-    minor, left = group.minor.to_numpy(), group.left.to_numpy()
-    right = np.flatnonzero(~left)
-    for i in np.flatnonzero(left):
+    minor, right = group.minor.to_numpy(), np.flatnonzero(group.right)
+    for i in np.flatnonzero(group.left):
         against = right[(comp[right] != comp[i]) & (~minor[right] | (rank[right] > rank[i]))]
         against = against[survivors(np.broadcast_to(sig[i], (len(against), sig.shape[1])), sig[against], bounds)]
         shared = (sig[i] == sig[against]).reshape(len(against), BANDS, ROWS).all(2)
@@ -232,10 +231,11 @@ def compared(group: pd.DataFrame, bounds: list[tuple[int, int]]) -> Iterator[tup
 
 
 def dealt(members: DataFrame) -> DataFrame:
-    """key, a, b, band, node, comp, minor, left: the nodes of each bucket in more than one component, in pairs (a, b) of blocks.
+    """key, a, b, band, node, comp, minor, left, right: the nodes of each bucket in more than one component, in pairs (a, b) of blocks.
 
     On the left are a bucket's nodes outside its largest component (``minor``), on the right all its nodes; either side is cut
-    into blocks of bounded size, and each block of one meets each of the other. Buckets of two nodes were done with the pivot.
+    into blocks of bounded size, and each block of one meets each of the other. A node on both sides of a pair is one row. Buckets
+    of two nodes were done with the pivot.
     """
     parts = members.groupBy("key", "comp").agg(F.count("*").alias("nodes"), F.sum("n").alias("items"))
     sums = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("nodes").alias("nodes"), F.sum("items").alias("items"), F.max(F.struct("nodes", "comp", "items")).alias("major")).where("parts > 1 AND nodes > 2")
@@ -245,10 +245,11 @@ def dealt(members: DataFrame) -> DataFrame:
     rows = members.join(buckets, "key").withColumn("minor", F.col("comp") != F.col("major"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda a, b, left: F.struct(a.alias("a"), b.alias("b"), F.lit(left).alias("left"))
-    on_right = F.transform(each("n_left"), lambda i: place(i, own("n_right"), False))
-    on_left = F.when(F.col("minor"), F.transform(each("n_right"), lambda j: place(own("n_left"), j, True))).otherwise(F.filter(on_right, lambda _: F.lit(False)))
-    return rows.select("key", "band", "node", "comp", "minor", F.explode(F.concat(on_right, on_left)).alias("at")).select("key", "at.a", "at.b", "band", "node", "comp", "minor", "at.left")
+    place = lambda a, b, left, right: F.struct(a.alias("a"), b.alias("b"), left.alias("left"), right.alias("right"))
+    yes, no = F.lit(True), F.lit(False)
+    on_left = F.transform(F.filter(each("n_right"), lambda j: F.col("minor")), lambda j: place(own("n_left"), j, yes, j == own("n_right")))
+    on_right = F.transform(F.filter(each("n_left"), lambda i: ~F.col("minor") | (i != own("n_left"))), lambda i: place(i, own("n_right"), no, yes))
+    return rows.select("key", "band", "node", "comp", "minor", F.explode(F.concat(on_left, on_right)).alias("at")).select("key", "at.a", "at.b", "band", "node", "comp", "minor", "at.left", "at.right")
 
 
 def still_apart(members: DataFrame, nodes: DataFrame, docs: DataFrame, bounds: list[tuple[int, int]], width: int, percent: int) -> DataFrame:
@@ -262,8 +263,8 @@ def still_apart(members: DataFrame, nodes: DataFrame, docs: DataFrame, bounds: l
             wanted[i] |= len(found) > 0
         return group[wanted]
 
-    kept = "key long, a int, b int, band int, node binary, comp binary, minor boolean, left boolean, sig binary"
-    rows = materialise(rows.select("key", "a", "b", "band", "node", "comp", "minor", "left", "sig").groupBy("key", "a", "b").applyInPandas(take_part, kept), "apart")
+    kept = "key long, a int, b int, band int, node binary, comp binary, minor boolean, left boolean, right boolean, sig binary"
+    rows = materialise(rows.select("key", "a", "b", "band", "node", "comp", "minor", "left", "right", "sig").groupBy("key", "a", "b").applyInPandas(take_part, kept), "apart")
     sets = full_sets(rows.select("node"), nodes, docs, width)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:

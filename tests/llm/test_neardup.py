@@ -99,3 +99,35 @@ def test_components_of_long_paths(spark):
     pairs = [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(60)] + [(b"x", b"y")]
     got = {(bytes(r.node), bytes(r.root)) for r in neardup.components(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
     assert got == {(f"{i:03d}".encode(), b"000") for i in range(61)} | {(b"x", b"x"), (b"y", b"x")}
+
+
+def test_blocks_are_bounded_and_every_pair_meets_once(spark, monkeypatch):
+    """One bucket of very many nodes that are each a component: no group above two blocks, all pairs in some group."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "BLOCK", 512)
+    n = 20_000
+    members = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.lit(0).alias("band"), F.col("id").cast("string").cast("binary").alias("node"), F.col("id").cast("string").cast("binary").alias("comp"), F.lit(1).cast("long").alias("n"))
+    groups = neardup.dealt(members).groupBy("key", "a", "b").agg(F.count("*").alias("rows"), F.sum(F.col("left").cast("int")).alias("l"), F.sum(F.col("right").cast("int")).alias("r")).collect()
+    assert max(g.rows for g in groups) < 2 * 640 and 40 * 39 <= len(groups) <= 41 * 41
+    assert sum(g.l * g.r for g in groups) == (n - 1) * n  # the largest component, here of one node, is on the right only
+    few = members.limit(3000).withColumn("comp", F.when(F.col("node") > F.lit("2").cast("binary"), F.lit(b"major")).otherwise(F.col("comp")))
+    sides = neardup.dealt(few).groupBy("minor").agg(F.sum(F.col("left").cast("int")).alias("l"), F.countDistinct("node").alias("n"), F.sum(F.col("right").cast("int")).alias("r")).collect()
+    assert {r.minor: r.l > 0 for r in sides} == {True: True, False: False} and sum(r.n for r in sides) == 3000
+
+
+@pytest.mark.parametrize("block", [3, 7])
+def test_small_blocks_give_the_same_components(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = made(11, 60)
+    got = neardup.near_duplicates(frame(spark, rows), 2).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == by_all_pairs(rows, 2)
+
+
+def test_clashing_names_pass(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e f"), (2, "A B C D E F"), (3, "")]
+    df = frame(spark, rows).select("*", *(F.lit(7).alias(c) for c in ("_key", "_id", "k", "row", "worded", "node")))
+    got = neardup.one_of_each(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.k, r.row) for r in got.collect()) == [(1, 7, 7), (3, 7, 7)]
