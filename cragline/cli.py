@@ -9,10 +9,11 @@ import argparse
 import os
 import subprocess
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import render
 from .operators import gates, metrics, profiling
@@ -71,11 +72,13 @@ def analyze(spark: SparkSession, root: str, argv: Sequence[str], out: Callable[[
         bad = facts.where("NOT parse_ok").select("path", "parse_error").orderBy("path").first()
         if bad:
             raise Problem(f"{bad.path}: {bad.parse_error}")
-        rows = metrics.sorted_metrics(metrics.analyze(functions(facts), blocks)).collect()
+        scored = metrics.analyze(functions(facts), blocks).persist()
+        most = metrics.summary(scored, o.threshold).first().max_crap
+        for line in render.metric_report(metrics.sorted_metrics(scored).toLocalIterator(), most, o.threshold):
+            out(line)
+        scored.unpersist()
     finally:
         facts.unpersist()
-    most = max([0.0, *(r.crap for r in rows if r.crap is not None)])
-    out(render.metric_report(rows, most, o.threshold).rstrip("\n"))
     if most > o.threshold:
         print(f"CRAP threshold exceeded: {most:.1f} > {o.threshold:.1f}", file=sys.stderr)
         return 2
@@ -83,11 +86,12 @@ def analyze(spark: SparkSession, root: str, argv: Sequence[str], out: Callable[[
 
 
 def report(gate: gates.Gate, out: Callable[[str], None], rules: int = 0) -> int:
-    rows = gate.violations.orderBy("path", "ord", "line").collect()
-    for line in render.gate_lines(rows):
+    n = 0
+    for line in render.gate_lines(gate.violations.orderBy("path", "ord", "by", "line").toLocalIterator()):
         out(line)
-    out(render.gate_summary(gate.name, len(rows), gate.checked.first().checked, rules))
-    return 2 if rows else 0
+        n += 1
+    out(render.gate_summary(gate.name, n, gate.checked.first().checked, rules))
+    return 2 if n else 0
 
 
 def run_gate(name: str, spark: SparkSession, root: str, argv: Sequence[str], out: Callable[[str], None]) -> int:
@@ -135,40 +139,64 @@ def run_gate(name: str, spark: SparkSession, root: str, argv: Sequence[str], out
         facts.unpersist()
 
 
+def go_test_arguments(root: str, name: str, paths: Sequence[str]) -> list[str]:
+    """What ``go`` is called with to run the tests: those matching name, in paths or everywhere. Paths below root become relative to it."""
+    inside = lambda p: os.path.isabs(p) and not os.path.relpath(p, root).startswith("..")
+    where = ["./" + os.path.relpath(p, root).replace(os.sep, "/") if inside(p) else p for p in paths]
+    return ["test", "-count=1", *(["-run", name] if name else []), *(where or ["./..."])]
+
+
 def profile(spark: SparkSession, root: str, argv: Sequence[str], out: Callable[[str], None]) -> int:
-    """Reports on the logs that an instrumented test run has left in --logs."""
+    """Reports on the logs in --logs that an instrumented test run has left, or leaves with --run-tests.
+
+    --name selects the tests that are run, --threshold is in ms and off at 0.
+    """
     a = arguments("profile")
     a.add_argument("--logs", default="profile-logs")
     a.add_argument("--name", default="")
-    a.add_argument("--threshold", type=float, default=None)
+    a.add_argument("--threshold", type=float, default=0.0)
     a.add_argument("--top", type=int, default=profiling.TOP)
+    a.add_argument("--run-tests", action="store_true")
     o = a.parse_args(argv)
-    if o.top <= 0 or o.threshold is not None and not o.threshold >= 0:
-        raise Problem("--top must be above 0 and --threshold 0 or more")
+    if o.top <= 0:
+        raise Problem("top must be positive")
+    if not o.threshold >= 0:
+        raise Problem("threshold must not be negative")
+    folder = os.path.join(root, o.logs)
+    if o.run_tests and subprocess.run(["go", *go_test_arguments(root, o.name, o.paths)], cwd=root, env=os.environ | {"CRAP_PROFILE_DIR": folder}).returncode:
+        raise Problem("the tests failed")
     facts = parse_files(tree.go_files(spark, root, selected(root, o.paths)))
-    rows = profiling.ranked(profiling.attributed(functions(facts), profiling.timing_stats(logs.read_timings(spark, os.path.join(root, o.logs))))).collect()
-    if not rows:
-        raise Problem("no timings belong to any function")
-    total = sum(r.total_us for r in rows)
-    out(render.profile_report(rows[: o.top], len(rows), total).rstrip("\n"))
+    owned = profiling.attributed(functions(facts), profiling.timing_stats(logs.read_timings(spark, folder))).persist()
+    try:
+        all_of = owned.agg(F.count("*").alias("n"), F.sum("total_us").alias("total")).first()
+        if not all_of.n:
+            raise Problem("no timings belong to any function")
+        over = profiling.over_threshold(owned, o.threshold).first() if o.threshold > 0 else None
+        exceeding = over.exceeding if over else 0
+        report = lambda rows: render.profile_report(rows, all_of.n, all_of.total, exceeding, o.threshold)
+        for line in report(profiling.ranked(owned, o.top).collect()):
+            out(line)
+        write_reports(root, profiling.ranked(owned), report)
+    finally:
+        owned.unpersist()
+    if not exceeding:
+        return 0
+    print(f"Profile threshold exceeded: {over.first_offender} total {over.first_us / 1000.0:.2f}ms > {o.threshold:.2f}ms", file=sys.stderr)
+    return 2
+
+
+def write_reports(root: str, ranked: DataFrame, report: Callable[[Iterable], Iterable[str]]) -> None:
+    """The whole table as text and as JSON under profile-reports; what goes wrong is a warning."""
     folder = os.path.join(root, "profile-reports")
-    stamp = o.name or datetime.now().strftime("%Y%m%d-%H%M%S")
+    names = [os.path.join(folder, f"profile-{datetime.now():%Y%m%d-%H%M%S}.{suffix}") for suffix in ("txt", "json")]
     try:
         os.makedirs(folder, exist_ok=True)
-        for suffix, body in (("txt", render.profile_report(rows, len(rows), total)), ("json", render.profile_json(rows))):
-            with open(os.path.join(folder, f"profile-{stamp}.{suffix}"), "w", encoding="utf-8") as f:
-                f.write(body)
+        for name, lines in zip(names, ((x + "\n" for x in report(ranked.toLocalIterator())), render.profile_json(ranked.toLocalIterator())), strict=True):
+            with open(name, "w", encoding="utf-8") as f:
+                f.writelines(lines)
+        print(f"Profile report written to {names[0]} and {names[1]}", file=sys.stderr)
     except OSError as e:
         print(f"warning: {e}", file=sys.stderr)
-    if o.threshold is None:
-        return 0
-    over = [r for r in rows if r.total_us / 1000.0 > o.threshold]
-    if not over:
-        out(f"Threshold: {o.threshold:.2f}ms — all methods OK")
-        return 0
-    out(f"Threshold: {o.threshold:.2f}ms — " + ("1 method exceeds" if len(over) == 1 else f"{len(over)} methods exceed"))
-    print(f"{over[0].display_name}: {over[0].total_us / 1000.0:.2f}ms", file=sys.stderr)
-    return 2
 
 
 def main(argv: Sequence[str], root: str | None = None, spark: SparkSession | None = None, out: Callable[[str], None] = print) -> int:

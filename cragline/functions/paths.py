@@ -19,19 +19,6 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"\.go\z", "")
 
 
-def is_source(path: Column) -> Column:
-    """A Go file that is no test and has no directory named vendor."""
-    return path.endswith(".go") & ~path.endswith("_test.go") & ~path.rlike(r"(?:\A|/)vendor/")
-
-
-def is_test(path: Column) -> Column:
-    return path.endswith("_test.go") & ~path.rlike(r"(?:\A|/)vendor/")
-
-
-def exported(name: Column) -> Column:
-    return name.rlike(r"\A\p{Lu}")
-
-
 def import_dir(import_path: Column, module: str) -> Column:
     """The directory of an import inside the module; empty for any other."""
     if not module:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.globs import matches
 from ..functions.paths import import_dir, stem
 from ..plans.facts import family, functions
+from ..scratch import materialise
 
 MAX_NESTING, MAX_METHODS, MAX_WMC, MAX_WEIGHT, MIN_REPEATS, MIN_BYTES, MIN_ASSERTIONS, MAX_LOOSE = 5, 25, 80, 0.33, 3, 4, 1, 0
 
@@ -25,17 +27,17 @@ FAILING = ["Error", "Errorf", "Fatal", "Fatalf", "Fail", "FailNow"]
 
 @dataclass
 class Gate:
-    """violations: path, line (null for gates without lines), ord, message. checked: one row, column checked."""
+    """violations: path, line (null for gates without lines), ord, by, message, reported by path, ord, by, line. checked: one row, column checked."""
 
     name: str
     violations: DataFrame
     checked: DataFrame
 
 
-def _gate(name: str, rows: DataFrame, path: str | Column, line: Column | None, message: Column, checked: DataFrame, ord_: Column | None = None) -> Gate:
+def _gate(name: str, rows: DataFrame, path: str | Column, line: Column | None, message: Column, checked: DataFrame, ord_: Column | None = None, by: Column | None = None) -> Gate:
     at = F.lit(None).cast("int") if line is None else line.cast("int")
     order = F.lit(0) if ord_ is None else ord_
-    out = rows.select(F.lit(name).alias("gate"), (F.col(path) if isinstance(path, str) else path).alias("path"), at.alias("line"), order.cast("long").alias("ord"), message.alias("message"))
+    out = rows.select(F.lit(name).alias("gate"), (F.col(path) if isinstance(path, str) else path).alias("path"), at.alias("line"), order.cast("long").alias("ord"), (F.lit("") if by is None else by).alias("by"), message.alias("message"))
     return Gate(name, out, checked)
 
 
@@ -64,21 +66,27 @@ def nesting(facts: DataFrame, most: int = MAX_NESTING) -> Gate:
 
 
 def class_size(facts: DataFrame, methods: int = MAX_METHODS, wmc: int = MAX_WMC) -> Gate:
-    """Types by directory and receiver name; only methods with a body count. The two limits come from one aggregation."""
+    """Types by directory and receiver name, in the order of their first methods; only methods with a body count. The two limits come from one aggregation."""
     place = F.struct("path", "ordinal", "start_line")
     f = functions(facts).where("has_recv AND has_body")
     types = f.groupBy("pkg_dir", "recv").agg(F.count("*").alias("n"), F.sum("cc").cast("long").alias("wmc"), F.min(place).alias("first"))
     limits = F.array(F.struct(F.lit(0).alias("o"), (F.col("n") > methods).alias("over"), _text(F.col("recv"), " has ", F.col("n"), f" methods > max {methods}").alias("m")), F.struct(F.lit(1).alias("o"), (F.col("wmc") > wmc).alias("over"), _text(F.col("recv"), " WMC=", F.col("wmc"), f" > max {wmc}").alias("m")))
     rows = types.select("first", F.explode(limits).alias("x")).where("x.over")
-    return _gate("class-size", rows, F.col("first.path"), F.col("first.start_line"), F.col("x.m"), _count(types), F.col("x.o"))
+    return _gate("class-size", rows, F.col("first.path"), F.col("first.start_line"), F.col("x.m"), _count(types), F.col("first.ordinal") * 2 + F.col("x.o"))
 
 
 def struct_weights(facts: DataFrame) -> DataFrame:
-    """Exported structs, of one name in a directory the first, with their exported fields and methods."""
-    first = F.row_number().over(Window.partitionBy("pkg_dir", "name").orderBy("path", "at"))
-    structs = family(facts, "structs").where("exported").withColumn("fields", F.size(F.filter("fields", lambda f: f["exported"]))).withColumn("_r", first).where("_r = 1").drop("_r")
-    methods = family(facts, "funcs").where("has_recv AND exported").groupBy("pkg_dir", F.col("recv").alias("name")).agg(F.count("*").alias("methods"))
-    return structs.join(methods, ["pkg_dir", "name"], "left").withColumn("methods", F.coalesce("methods", F.lit(0)).cast("long")).withColumn("fields", F.col("fields").cast("long"))
+    """Exported structs, of one name in a directory the first, with their exported fields and methods.
+
+    Structs and methods are taken from a file's row together and meet in one aggregation, so files are parsed once.
+    """
+    place = lambda s, i: F.struct("path", i.alias("at"), s["line"].alias("line"), F.size(F.filter(s["fields"], lambda f: f["exported"])).alias("fields"))
+    structs = F.filter(F.transform("structs", lambda s, i: F.struct(s["name"].alias("name"), F.when(s["exported"], place(s, i)).alias("struct"), F.lit(0).alias("method"))), lambda x: x["struct"].isNotNull())
+    nothing = F.lit(None).cast("struct<path: string, at: int, line: int, fields: int>")
+    methods = F.transform(F.filter("funcs", lambda f: f["has_recv"] & f["exported"]), lambda f: F.struct(f["recv"].alias("name"), nothing.alias("struct"), F.lit(1).alias("method")))
+    members = facts.where("parse_ok").select("pkg_dir", F.explode(F.concat(structs, methods)).alias("x"))
+    types = members.groupBy("pkg_dir", F.col("x.name").alias("name")).agg(F.min("x.struct").alias("first"), F.sum("x.method").alias("methods"))
+    return types.where("first IS NOT NULL").select("pkg_dir", "name", "first.path", "first.at", "first.line", F.col("first.fields").cast("long").alias("fields"), "methods")
 
 
 def weight_of_class(facts: DataFrame, most: float = MAX_WEIGHT) -> Gate:
@@ -89,24 +97,37 @@ def weight_of_class(facts: DataFrame, most: float = MAX_WEIGHT) -> Gate:
 
 
 def declaration_uses(facts: DataFrame) -> DataFrame:
-    """Unexported package-level names with how often the name stands in the package; counts by file are summed before they are shuffled."""
-    decls = family(facts, "decls").where("NOT exported AND name <> '_'")
-    uses = family(facts, "names").groupBy("pkg_dir", "name").agg(F.sum("n").alias("uses"))
-    return decls.join(uses, ["pkg_dir", "name"], "left")
+    """Unexported package-level names: how many declare them, the first that does, and how often the name stands in the package.
+
+    Declarations and a file's counts of names are taken from its row together and meet in one aggregation.
+    """
+    decls = F.filter(F.transform("decls", lambda d, i: F.struct(d["name"].alias("name"), F.when(~d["exported"] & (d["name"] != "_"), F.struct("path", i.alias("at"), d["line"].alias("line"))).alias("decl"), F.lit(0).cast("long").alias("n"))), lambda x: x["decl"].isNotNull())
+    nothing = F.lit(None).cast("struct<path: string, at: int, line: int>")
+    uses = F.transform("names", lambda x: F.struct(x["name"].alias("name"), nothing.alias("decl"), x["n"].alias("n")))
+    rows = facts.where("parse_ok").select("pkg_dir", F.explode(F.concat(decls, uses)).alias("x"))
+    names = rows.groupBy("pkg_dir", F.col("x.name").alias("name")).agg(F.min("x.decl").alias("decl"), F.count("x.decl").alias("declared"), F.sum("x.n").alias("uses"))
+    return names.where("decl IS NOT NULL").select("pkg_dir", "name", "decl.path", "decl.at", "decl.line", "declared", "uses")
 
 
 def unused_code(facts: DataFrame) -> Gate:
+    """Names that stand nowhere but in their declaration; that is one place, so such a name has one declaration."""
     d = declaration_uses(facts)
-    return _gate("unused-code", d.where(F.coalesce("uses", F.lit(0)) <= 1), "path", F.col("line"), _text(F.col("name"), " is never referenced"), _count(d), F.col("at"))
+    checked = d.agg(F.coalesce(F.sum("declared"), F.lit(0)).alias("checked"))
+    return _gate("unused-code", d.where("uses <= 1"), "path", F.col("line"), _text(F.col("name"), " is never referenced"), checked, F.col("at"))
 
 
 def unused_files(facts: DataFrame, module: str) -> Gate:
-    """Packages other than main that no file imports. A directory's package is that of its last file."""
-    ok = facts.where("parse_ok")
-    packages = ok.groupBy("pkg_dir").agg(F.max_by("package", "path").alias("package")).where("package <> 'main'")
-    imported = family(facts, "imports").select(import_dir(F.col("import_path"), module).alias("pkg_dir")).where("pkg_dir <> ''").distinct()
-    left = packages.join(imported, "pkg_dir", "left_anti")
-    return _gate("unused-files", left, "pkg_dir", None, _text("package ", F.col("package"), " is never imported by any analyzed package"), _count(packages))
+    """Packages other than main that no file imports. A directory's package is that of its last file.
+
+    Packages and imports meet in one aggregation by directory.
+    """
+    own = F.array(F.struct(F.col("pkg_dir").alias("dir"), F.struct("path", "package").alias("file"), F.lit(False).alias("imported")))
+    nothing = F.lit(None).cast("struct<path: string, package: string>")
+    others = F.transform("imports", lambda i: F.struct(import_dir(i["import_path"], module).alias("dir"), nothing.alias("file"), F.lit(True).alias("imported")))
+    rows = facts.where("parse_ok").select(F.explode(F.concat(own, others)).alias("x")).where("x.dir <> ''")
+    dirs = rows.groupBy(F.col("x.dir").alias("pkg_dir")).agg(F.max("x.file").alias("last"), F.max("x.imported").alias("imported"))
+    packages = dirs.where("last IS NOT NULL AND last.package <> 'main'").select("pkg_dir", "last.package", "imported")
+    return _gate("unused-files", packages.where("NOT imported"), "pkg_dir", None, _text("package ", F.col("package"), " is never imported by any analyzed package"), _count(packages))
 
 
 @dataclass(frozen=True)
@@ -149,13 +170,14 @@ def magic_literals(facts: DataFrame) -> DataFrame:
 
 
 def magic_constants(facts: DataFrame, least: int = MIN_REPEATS) -> Gate:
+    """Colours of a file by place, then repeated literals by value and place."""
     lits = magic_literals(facts)
     kinds = F.array(
         F.struct(F.col("hex").alias("hit"), F.lit("hex color outside a constant declaration").alias("m"), F.lit(0).alias("section")),
         F.struct((F.col("counts") & (F.col("repeats") >= least)).alias("hit"), _text("literal ", F.col("value"), " repeats ", F.col("repeats"), " times — extract a named constant").alias("m"), F.lit(1).alias("section")),
     )
     rows = lits.withColumn("v", F.explode(kinds)).where("v.hit")
-    return _gate("magic-constants", rows, "path", F.col("line"), F.col("v.m"), _count(facts), F.col("v.section") * F.lit(1 << 32) + F.col("preorder"))
+    return _gate("magic-constants", rows, "path", F.col("line"), F.col("v.m"), _count(facts), F.col("v.section"), F.when(F.col("v.section") == 1, F.col("value")).otherwise(F.lit("")))
 
 
 def test_functions(facts: DataFrame) -> DataFrame:
@@ -183,11 +205,7 @@ def folder_structure(dirs: DataFrame, files: DataFrame, most: int = MAX_LOOSE) -
 
 
 def all_gates(facts: DataFrame, module: str) -> DataFrame:
-    """Violations of all gates that need no more than facts, from one parse."""
-    gates = [nesting(facts), class_size(facts), weight_of_class(facts), unused_code(facts), unused_files(facts, module), magic_constants(facts), test_assertions(facts), file_naming(facts)]
-    out = gates[0].violations
-    for g in gates[1:]:
-        out = out.unionByName(g.violations)
-    return out
-
-
+    """Violations of all gates that need no more than facts. These are written once, so every file is parsed once; each gate then reads its own columns."""
+    once = materialise(facts, "facts")
+    gates = [nesting(once), class_size(once), weight_of_class(once), unused_code(once), unused_files(once, module), magic_constants(once), test_assertions(once), file_naming(once)]
+    return reduce(DataFrame.unionByName, (g.violations for g in gates))

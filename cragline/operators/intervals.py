@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a bin.
-BIN = 128
+#: Lines in a bin; bins from which on a range is wide.
+BIN, WIDE = 128, 64
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_range: tuple[str, str], right_range: tuple[str, str], width: int = BIN) -> DataFrame:
@@ -14,10 +14,15 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, left_range: tuple[
 
     Both sides are cut into bins of lines and joined on key and bin, so a single huge file is spread over
     tasks instead of being compared range by range in one. A pair is taken in the first bin that both have,
-    hence once.
+    hence once. A range of the right side that is wide, whatever its width, takes one row in bin -1, where all left rows of its key
+    are too. Ranges of the left side are those of functions: they have no more bins than their file's text has lines.
     """
     place = lambda c: F.floor(F.col(c) / width).cast("long")
-    cut = lambda df, r, name: df.where(F.col(r[0]) <= F.col(r[1])).withColumn(name, place(r[0])).withColumn("_bin", F.explode(F.sequence(place(r[0]), place(r[1]))))
-    joined = cut(left, left_range, "_left").join(cut(right, right_range, "_right"), [key, "_bin"])
+    whole = lambda df, r, name: df.where(F.col(r[0]) <= F.col(r[1])).withColumn(name, place(r[0]))
+    fine, one = lambda r: F.sequence(place(r[0]), place(r[1])), F.array(F.lit(-1).cast("long"))
+    wide = place(right_range[1]) - place(right_range[0]) >= WIDE
+    a = whole(left, left_range, "_left").withColumn("_bin", F.explode(F.concat(one, fine(left_range))))
+    b = whole(right, right_range, "_right").withColumn("_bin", F.explode(F.when(wide, one).otherwise(fine(right_range))))
+    joined = a.join(b, [key, "_bin"])
     overlap = (F.col(right_range[0]) <= F.col(left_range[1])) & (F.col(right_range[1]) >= F.col(left_range[0]))
-    return joined.where(overlap & (F.col("_bin") == F.greatest("_left", "_right"))).drop("_bin", "_left", "_right")
+    return joined.where(overlap & ((F.col("_bin") < 0) | (F.col("_bin") == F.greatest("_left", "_right")))).drop("_bin", "_left", "_right")

@@ -15,13 +15,20 @@ COVER_COLUMNS = ("profile_path", "b_start", "b_start_col", "b_end", "b_end_col",
 
 
 def cover_blocks(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Blocks of a cover profile's lines; empty, ``#`` and ``mode:`` lines are skipped, any other line that is no block is an error."""
-    line = F.col(column)
-    rows = lines.where(~((line == "") | line.startswith("#") | line.startswith("mode:")))
-    checked = F.when(line.rlike(COVER_LINE), line).otherwise(F.raise_error(F.concat(F.lit("malformed cover line: "), line)).cast("string"))
-    parts = [F.regexp_extract("_line", COVER_LINE, i + 1) for i in range(7)]
-    kinds = ("string", "int", "int", "int", "int", "long", "long")
-    return rows.select(*(c for c in lines.columns if c != column), checked.alias("_line")).select(*(c for c in lines.columns if c != column), *(p.cast(k).alias(c) for p, k, c in zip(parts, kinds, COVER_COLUMNS, strict=True)))
+    """Blocks of a cover profile's lines; empty, ``#`` and ``mode:`` lines are skipped, any other line that is no block is an error.
+
+    One pattern tests a line; its numbers, which follow the last colon, come from one split. Numbers are 64-bit; larger ones make a
+    line malformed.
+    """
+    line, others = F.col(column), [c for c in lines.columns if c != column]
+    skipped = (line == "") | line.startswith("#") | line.startswith("mode:")
+    tail = F.substring_index(line, ":", -1)
+    numbers = F.transform(F.split(tail, "[., ]"), lambda x: x.try_cast("long"))
+    good = line.rlike(COVER_LINE) & ~F.exists(numbers, lambda x: x.isNull())
+    wrong = F.raise_error(F.concat(F.lit("malformed cover line: "), line)).cast("array<bigint>")
+    # skipped lines are told here as well, since later filters may be tried on a line before the one on skipped lines
+    cut = lines.select(*others, skipped.alias("_skipped"), F.substring(line, F.lit(1), F.length(line) - F.length(tail) - 1).alias("_path"), F.when(skipped, None).when(good, numbers).otherwise(wrong).alias("_n"))
+    return cut.where("NOT _skipped").select(*others, F.col("_path").alias(COVER_COLUMNS[0]), *(F.get("_n", F.lit(i)).alias(c) for i, c in enumerate(COVER_COLUMNS[1:])))
 
 
 def resolve_coverage(files: DataFrame, blocks: DataFrame) -> DataFrame:

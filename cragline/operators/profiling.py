@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NOISE_US = 30.0
@@ -34,16 +34,19 @@ def attributed(funcs: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def ranked(profiles: DataFrame, top: int = 0) -> DataFrame:
-    """By falling total, with mean and share of all rows' total; top > 0 keeps the first rows, the share stays one of all."""
-    total = F.sum("total_us").over(Window.partitionBy())
-    share = F.when(total <= 0, F.lit(0.0)).otherwise(F.col("total_us").cast("double") / total.cast("double") * 100)
-    rows = profiles.select("*", mean_us(F.col("calls"), F.col("total_us")).alias("mean_us"), share.alias("share"))
+    """By falling total, with mean and share of all rows' total; top > 0 keeps the first rows, the share stays one of all.
+
+    The total is a table of one row, so that no window gathers all functions.
+    """
+    total = profiles.agg(F.sum("total_us").cast("double").alias("_all"))
+    share = F.when(F.col("_all") <= 0, F.lit(0.0)).otherwise(F.col("total_us").cast("double") / F.col("_all") * 100)
+    rows = profiles.join(F.broadcast(total)).select(*profiles.columns, mean_us(F.col("calls"), F.col("total_us")).alias("mean_us"), share.alias("share"))
     rows = rows.orderBy(F.desc("total_us"), "path", "ordinal")
     return rows.limit(top) if top > 0 else rows
 
 
 def over_threshold(profiles: DataFrame, threshold_ms: float) -> DataFrame:
-    """How many functions took more, and the first of them by total."""
+    """How many functions took more, and the first of them by total, with that."""
     over = profiles.where(F.col("total_us") / F.lit(1000.0) > threshold_ms)
     first = F.min_by("display_name", F.struct((-F.col("total_us")).alias("t"), "path", "ordinal"))
-    return over.agg(F.count("*").alias("exceeding"), first.alias("first_offender"))
+    return over.agg(F.count("*").alias("exceeding"), first.alias("first_offender"), F.max("total_us").alias("first_us"))

@@ -2,9 +2,10 @@ import json
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from cragline import render
-from cragline.cli import main
+from cragline.cli import main, go_test_arguments
 from cragline.sources import logs, tree
 from cragline.streaming.timings import stream_timings
 
@@ -62,15 +63,36 @@ def test_empty_tree(spark, tmp_path):
     assert run(spark, tmp_path, "skill")[0] == 0 and "profile" in run(spark, tmp_path, "--help")[1]
 
 
-def test_profile(spark, repo):
+def test_profile(spark, repo, capsys):
     write(repo, **{"logs__aDOTjsonl": "a.go|Simple\t3000\na.go|Simple\t1000\nzz|Q\t5\n", "logs__bDOTtxt": "a.go|Simple\t9\n"})
     code, text = run(spark, repo, "profile", "--logs", "logs", "--threshold", "2", "--name", "x")
-    assert code == 2 and "1 methods, total 4.00ms" in text and "1 method exceeds" in text
-    assert json.loads((repo / "profile-reports/profile-x.json").read_text())["methods"][0]["totalMicros"] == 4000
-    assert run(spark, repo, "profile", "--logs", "none")[0] == 1 and run(spark, repo, "profile", "--top", "0")[0] == 1
+    assert code == 2 and text.splitlines() == [
+        "Profile Report (1 methods, total 4.00ms)", render.PROFILE_HEAD, render.PROFILE_RULE,
+        "     4.00 100.0%      2    2000.0     3000     120.00  Simple                    a.go:3", "", "Threshold: 2.00ms — 1 method exceeds",
+    ]
+    said = capsys.readouterr().err
+    assert "Profile threshold exceeded: Simple total 4.00ms > 2.00ms" in said and "Profile report written to" in said
+    js, txt = (next((repo / "profile-reports").glob(f"*.{x}")) for x in ("json", "txt"))
+    assert json.loads(js.read_text())["methods"][0]["totalMicros"] == 4000 and txt.read_text() == text + "\n"
+    # 0 is off
+    code, text = run(spark, repo, "profile", "--logs", "logs", "--threshold", "0")
+    assert code == 0 and "Threshold" not in text
+    assert run(spark, repo, "profile", "--logs", "none")[0] == 1 and run(spark, repo, "profile", "--top", "0")[0] == 1 and run(spark, repo, "profile", "--threshold", "-1")[0] == 1
     assert logs.read_timings(spark, str(repo / "nothing")).count() == 0
 
 
+def test_go_arguments():
+    assert go_test_arguments("/r", "", []) == ["test", "-count=1", "./..."]
+    assert go_test_arguments("/r", "TestX", ["/r/a/b", "./c", "d", "/else", "/rr/x"]) == ["test", "-count=1", "-run", "TestX", "./a/b", "./c", "d", "/else", "/rr/x"]
+
+
+def test_report_rows():
+    head = "Method                         File                                  CC    Cov%     CRAP"
+    row = lambda cov, crap: Row(display_name="A", path="a.go", cc=5, coverage=cov, crap=crap)
+    got = list(render.metric_report([row(0.5, 8.125), row(None, None)], 8.125, 8.0))
+    assert got == ["CRAP Report", "===========", head, "-" * len(head), f"{'A':<30} {'a.go':<35} {5:>4} {' 50.0%':>7} {'8.1':>8}", f"{'A':<30} {'a.go':<35} {5:>4} {'  N/A ':>7} {'     N/A':>8}", "", "Max CRAP: 8.1 (threshold 8.0) — FAILED"]
+
+
 def test_streamed_timings_equal_the_batch(spark, repo):
     write(repo, logs__aDOTjsonl="k\t10\nk\t20\n")
     q = stream_timings(spark, str(repo / "logs")).writeStream.format("memory").queryName("t").outputMode("complete").start()

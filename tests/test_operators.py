@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def facts(spark, **files):
 
 
 def found(gate):
-    rows = [(r.path, r.line, r.message) for r in gate.violations.orderBy("path", "ord", "line").collect()]
+    rows = [(r.path, r.line, r.message) for r in gate.violations.orderBy("path", "ord", "by", "line").collect()]
     return rows, gate.checked.first().checked
 
 
@@ -175,7 +177,8 @@ def test_ranking(spark):
     p = spark.createDataFrame([("x.go", 0, "A", 1, 3, 3000, 900, 1200), ("x.go", 1, "B", 5, 1, 1000, 1000, 1000)], "path string, ordinal int, display_name string, start_line int, calls long, total_us long, min_us long, max_us long")
     top = profiling.ranked(p, 1).collect()
     assert [(r.display_name, r.share, r.mean_us) for r in top] == [("A", 75.0, 1000.0)]
-    assert tuple(profiling.over_threshold(p, 2.0).first()) == (1, "A") and tuple(profiling.over_threshold(p, 5.0).first()) == (0, None)
+    assert tuple(profiling.over_threshold(p, 2.0).first()) == (1, "A", 3000) and tuple(profiling.over_threshold(p, 5.0).first()) == (0, None, None)
+    assert "Window" not in plan(profiling.ranked(p))
 
 
 def test_attribution_gives_equal_names_the_whole(spark):
@@ -184,7 +187,35 @@ def test_attribution_gives_equal_names_the_whole(spark):
     assert [(r.ordinal, r.total_us) for r in profiling.attributed(fs, stats).orderBy("ordinal").collect()] == [(0, 30), (1, 30)]
 
 
-def test_all_gates_share_one_parse(spark):
-    fs = facts(spark, util="package p\nfunc lonely() {}\n").persist()
-    kinds = {r.gate for r in gates.all_gates(fs, "m").collect()}
-    assert kinds == {"file-naming", "unused-code", "unused-files"}
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_parsed_once(spark):
+    fs = facts(spark, util="package p\nfunc lonely() {}\n")
+    for gate in (gates.nesting(fs), gates.class_size(fs), gates.weight_of_class(fs), gates.unused_code(fs), gates.unused_files(fs, "m"), gates.magic_constants(fs), gates.test_assertions(fs), gates.banned_imports(fs, [gates.Rule("**", "x")], "m")):
+        assert plan(gate.violations).count("MapInArrow") == 1, gate.name
+    every = gates.all_gates(fs, "m")
+    assert "MapInArrow" not in plan(every) and {r.gate for r in every.collect()} == {"file-naming", "unused-code", "unused-files"}
+
+
+def test_findings_come_in_order(spark):
+    many = lambda t, n: "".join(f"func (x {t}) {t}{i}() {{\n" + "if a {\n}\n" * 5 + "}\n" for i in range(n))
+    rows, _ = found(gates.class_size(facts(spark, a="package p\n" + many("B", 26) + many("A", 26))))
+    assert [m for _, _, m in rows] == ["B has 26 methods > max 25", "B WMC=156 > max 80", "A has 26 methods > max 25", "A WMC=156 > max 80"]
+    body = "package p\n" + "".join(f'var a{i} = f("{v}")\n' for i, v in enumerate(["zeta", "beta"] * 3)) + "var c = 0xFF00FF\n"
+    rows, _ = found(gates.magic_constants(facts(spark, a=body)))
+    assert [(line, m.split()[1]) for _, line, m in rows] == [(8, "color"), (3, "beta"), (5, "beta"), (7, "beta"), (2, "zeta"), (4, "zeta"), (6, "zeta")]
+
+
+def test_large_numbers_and_wide_ranges(spark):
+    rows = metrics.cover_blocks(spark.createDataFrame([("m/a:b.go:99999999999.1,99999999999.2 1 3",)], "line string")).collect()
+    assert [tuple(r) for r in rows] == [("m/a:b.go", 99999999999, 1, 99999999999, 2, 1, 3)]
+    with pytest.raises(Exception, match="malformed cover line: x:1.1,2.2 1 9{20}"):
+        metrics.cover_blocks(spark.createDataFrame([("x:1.1,2.2 1 " + "9" * 20,)], "line string")).collect()
+    f = spark.createDataFrame([("k", i, 100 * i + 1, 100 * i + 90 if i % 50 else 100 * i + 40_000) for i in range(300)], "key string, i int, a long, b long")
+    b = spark.createDataFrame([("k", 0, 1, 2_000_000_000), ("k", 1, 5_000, 20_000), *(("k", j, j * 53, j * 53 + j % 200) for j in range(2, 300))], "key string, j int, c long, d long")
+    began = time.perf_counter()
+    got = sorted((r.i, r.j) for r in overlap_join(f, b, "key", ("a", "b"), ("c", "d")).collect())
+    assert time.perf_counter() - began < 10
+    assert got == sorted((r.i, r.j) for r in f.crossJoin(b.drop("key")).where("c <= b AND d >= a").collect())
