@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialise, shared_folder
+
+__all__ = ["discard", "materialise", "shared_folder"]
+
 #: Python processes the texts of an Arrow batch in slices of about this many characters.
 SLICE_CHARS = 4_000_000
 #: Rows up to which a side is broadcast; its callers' rows take under 100 bytes each.
@@ -25,67 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders of local sessions, by application.
-_local: dict[str, str] = {}
-_swept: set[str] = set()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only a local session, where there is one machine, may go without that setting: it gets a
-    temporary folder, which goes when Python ends. A cluster without it is refused.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc._jsc.sc().getCheckpointDir().get()
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _local:
-        _local[sc.applicationId] = tempfile.mkdtemp(prefix="cragline-")
-        atexit.register(shutil.rmtree, _local[sc.applicationId], ignore_errors=True)
-    return _local[sc.applicationId]
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A folder of the application's own in the shared one. What is left in it goes when Python ends."""
-    folder = f"{shared_folder(spark)}/cragline-{spark.sparkContext.applicationId}"
-    if folder not in _swept:
-        _swept.add(folder)
-        atexit.register(_sweep, spark.sparkContext._gateway, spark.sparkContext._jsc.sc().hadoopConfiguration(), folder)
-    return folder
-
-
-def _sweep(gateway: Any, settings: Any, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may have gone first
-        where = gateway.jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(settings).delete(where, True)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet in the scratch folder and read again: the lineage ends there.
-
-    ``discard`` removes the files once nothing reads them any more.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._cragline_path = path
-    return back
-
-
-def discard(df: DataFrame | None) -> None:
-    """Deletes the files behind a frame made by ``materialise``."""
-    path = getattr(df, "_cragline_path", None)
-    if df is not None and path:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(where, True)
-
-
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys over as many tasks as a shuffle has, for rows that are few but take long."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
