@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialise, shared_folder
-
-__all__ = ["discard", "materialise", "shared_folder"]
+from ..scratch import discard, materialise, shared_folder  # noqa: F401: the operators take them from here
 
 #: Python processes the texts of an Arrow batch in slices of about this many characters.
 SLICE_CHARS = 4_000_000
