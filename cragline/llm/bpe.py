@@ -15,7 +15,7 @@ have any name, those this operator adds excepted.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import Any
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 #: Entries that a worker's memories of words, pieces and pairs hold at most.
-MEMORY_WORDS, MEMORY_PAIRS = 400_000, 500_000
+MEMORY_WORDS, MEMORY_PAIRS = 400_000, 250_000
 #: The pre-tokenizer's pattern: contractions, letters, numbers, other signs, white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
@@ -65,7 +65,7 @@ class Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if not word or word[0].isspace() or word[-1].isspace():
             raise Unplain
-        ids = self.codec.by_pattern(" " + word)
+        ids = self.codec.by_pattern(" " + word, self.codec.piece_anew)  # kept here alone
         if len(self) < MEMORY_WORDS and "\n" not in word:
             self[word] = ids
         return ids
@@ -129,11 +129,14 @@ class Codec:
         """Ids of one piece, of which the pattern makes no two."""
         ids = self.pieces.get(text)
         if ids is None:
-            ids = self._piece(text.encode("utf-8", "surrogatepass").decode("latin-1"))
+            ids = self.piece_anew(text)
             if len(self.pieces) < MEMORY_WORDS and len(text) < 64:
                 self.pieces[text] = ids
         return ids
 
+    def piece_anew(self, text: str) -> tuple[int, ...]:
+        return self._piece(text.encode("utf-8", "surrogatepass").decode("latin-1"))
+
     def _piece(self, raw: str) -> tuple[int, ...]:
         last, starts, compatible = [-1] * (len(raw) + 1), [0] * (len(raw) + 1), self.compatible
         for end, (token, size) in self.automaton.iter(raw):
@@ -146,9 +149,9 @@ class Codec:
             at = starts[at]
         return tuple(reversed(ids))
 
-    def by_pattern(self, text: str) -> tuple[int, ...]:
-        found = PIECES.findall(text)
-        return self.piece(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(self.piece, found)))
+    def by_pattern(self, text: str, piece: Callable[[str], tuple[int, ...]] | None = None) -> tuple[int, ...]:
+        found, piece = PIECES.findall(text), piece or self.piece
+        return piece(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(piece, found)))
 
     def ordinary(self, text: str) -> list[int]:
         """Ids of text without special strings. A space before a word always begins a piece, so words are looked up one by one."""
@@ -168,6 +171,11 @@ class Codec:
             ids += [self.special[part]] if part in self.special else self.ordinary(part)
         return ids
 
+    def forget(self) -> None:
+        """Empties the memories, so that a worker that waits for other tasks holds no more than the vocabulary."""
+        for memory in (self.pairs, self.pieces, self.words):
+            memory.clear()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -200,6 +208,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                     columns.append(pa.array([own.decode(x) for x in found], pa.string()))
                 names = [*kept, ids] + [decoded] * bool(decoded)
                 yield pa.RecordBatch.from_arrays(columns, names)
+        own.forget()
 
     return docs.mapInArrow(run, schema)
 

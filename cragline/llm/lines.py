@@ -38,7 +38,9 @@ def text_key(text: Column) -> Column:
 
 def numbered_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, k (hash of the text), pos, site, h1, h2 of every line that counts; docs has doc_id, text, site."""
-    lines = docs.where(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text")).alias("k"), "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # the text's hash is made before its lines are, else the whole text would go along with each of them
+    parts = docs.where(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text")).alias("k"), "site", F.split("text", "\n").alias("parts"))
+    lines = parts.select("doc_id", "k", "site", F.posexplode("parts").alias("pos", "line"))
     return lines.where(words_in(F.col("line")) >= min_words).select("doc_id", "k", "pos", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 

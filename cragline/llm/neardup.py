@@ -43,7 +43,7 @@ BANDS, ROWS = 32, 5
 #: Values compared at a time, and the chance with which a pair at the threshold may be dropped.
 STEP, MISS = 32, 1e-5
 #: Words a worker remembers; nodes in a block.
-MEMORY_WORDS, BLOCK = 500_000, 2048
+MEMORY_WORDS, BLOCK = 200_000, 2048
 #: Hashes in all sets of a block.
 BLOCK_ITEMS = 2_000_000
 #: Similarity of a link, in hundredths; words of a shingle.
@@ -131,6 +131,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                     node.append(hashlib.blake2b(s.tobytes(), digest_size=12).digest() if len(s) else None)
                     sig.append(signature(s, by).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "k", "n", "node", "sig"])
+        _words.clear()  # a worker that waits for other tasks holds none
 
     return docs.select("doc_id", "text", text_key().alias("k")).mapInArrow(run, "doc_id long, k long, n long, node binary, sig binary")
 
@@ -167,6 +168,7 @@ def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int)
         for batch in batches:
             for part, found in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width).view(np.int64) for t in found], pa.list_(pa.int64()))], ["node", "items"])
+        _words.clear()
 
     sets = materialise(texts.mapInArrow(run, "node binary, items array<long>").dropDuplicates(["node"]), "sets")
     discard(needed)
