@@ -241,11 +241,27 @@ def test_recall(spark):
     assert len(got) == len(want) and len({x[:1] + x[2:3] for x in got} & {x[:1] + x[2:3] for x in want}) >= 0.9 * len(want)
 
 
+def test_recall_when_few_probes_are_allowed(spark, monkeypatch):
+    """As on a large table: the wanted number of projections is too many for the probes, so fewer are taken; blocks on both sides."""
+    monkeypatch.setattr(ann, "PROBES", 60)
+    monkeypatch.setattr(ann, "hashes_for", lambda n: 8)
+    monkeypatch.setattr(ann, "BLOCK", 300)
+    monkeypatch.setattr(ann, "ASKED", 7)
+    rng = np.random.default_rng(12)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    sample = ann.unit(np.array([v for _, v in rows]))
+    spread, wanted = ann.aimed_distance(sample, 5), 1 - 0.015 ** (1 / ann.TABLES)
+    k = ann.affordable(8, sample, spread, wanted)
+    assert 1 <= k < 8 and ann.affordable(k, sample, spread, wanted) == k
+    want, got = all_pairs(rows), neighbours(spark, rows)
+    assert len(got) == len(want) and len({x[:1] + x[2:3] for x in got} & {x[:1] + x[2:3] for x in want}) >= 0.9 * len(want)
+
+
 def test_queries_that_meet_the_cap_are_compared_with_all_rows(spark, monkeypatch):
     rng = np.random.default_rng(9)
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(rng.normal(size=(500, 64)))]
-    # as on a large table: many projections, a sample of few of the rows, and many blocks
-    monkeypatch.setattr(ann, "hashes_for", lambda n: 8)
+    # many projections kept although they are too many, a sample of few of the rows, and many blocks
+    monkeypatch.setattr(ann, "affordable", lambda k, *_: 8)
     monkeypatch.setattr(ann, "SAMPLE", 50)
     monkeypatch.setattr(ann, "BLOCK", 40)
     found, reached = ann.probes(ann.Hashing(64, 8).places(ann.unit(np.array([rows[0][1]])))[0, 0], 1.14, 0.65)

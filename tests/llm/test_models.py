@@ -42,6 +42,52 @@ def test_rules_find_a_conjunction():
     assert ((total > 0) == (y > 0)).mean() > 0.97 and len(model.rules) < 120
 
 
+def test_compiled_columns_are_the_rules_in_numpy(spark):
+    """Statistics by plain Python and rules by numpy, against the Spark columns of a fitted model, over all documents."""
+    import re
+    import unicodedata
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = quality.fit(docs, quality.training_labels(labels, 5, 0))
+    assert len(model.rules) > 5
+    got = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), model).collect()}
+
+    def plain(t):
+        t = t or ""
+        words, lines = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w], [x for x in t.split("\n") if x]
+        over = lambda a, b: a / b if b > 0 else 0.0
+        letters, upper = sum(c.isalpha() for c in t), sum(unicodedata.category(c) == "Lu" for c in t)
+        n, d = len(words), len(set(words))
+        digits, stops = len(re.findall(r"[0-9]", t)), len(re.findall(r"[.,;:]", t))
+        signs = sum(not c.isalpha() and c not in "0123456789.,;:'\"()-" and c not in " \t\n\x0b\f\r" for c in t)
+        return {"words": np.log1p(n), "distinct_words": over(d, n), "root_distinct": d / n**0.5 if n else 0.0, "word_length": over(len(t), n), "line_words": over(n, len(lines)), "distinct_lines": over(len(set(lines)), len(lines)),
+                "letters": over(letters, len(t)), "upper": over(upper, letters), "digits": over(digits, len(t)), "signs": over(signs, n), "stops": over(stops, n)}
+
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        x = plain(r.text)
+        total = model.intercept + sum(w for rule, w in model.rules if all((x[f] > at) == above for f, above, at in rule))
+        assert abs(1 / (1 + np.exp(-total)) - got[r.doc_id]) < 1e-9, r.doc_id
+
+
+def test_clashing_names_pass_through_quality(spark):
+    df = odd(spark).select("doc_id", "text", *(F.lit(5).alias(c) for c in ("_chars", "_words", "row", "_s_words", "_y")))
+    model = quality.RuleModel([((("words", True, 0.5),), 1.0)], 0.0)
+    got = quality.score(df, model).collect()
+    assert all(r._chars == r._words == r.row == r._s_words == r._y == 5 for r in got) and {round(r.score, 3) for r in got} == {0.5, 0.731}
+    assert quality.accepted(df, model, 0.6).columns == df.columns and quality.accepted(df, model, 0.6).count() == 3
+
+
+def test_training_texts_are_bounded(spark):
+    from cragline.llm.common import bounded_texts
+
+    df = spark.createDataFrame([(i, "x" * (10 + i % 7)) for i in range(300)] + [(5, "y" * 5000)] * 40, "doc_id long, text string")
+    got = bounded_texts(df, 200, 2000, 1, "doc_id", "text")
+    assert got == bounded_texts(df.repartition(5), 200, 2000, 1, "doc_id", "text") and 0 < len(got) <= 200 and sum(len(r.text) for r in got) <= 2000
+    assert bounded_texts(df.limit(0), 5, 5, 1, "doc_id") == []
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = table(spark, "/root/testdata/sf0.1", "labels")
     got = toxicity.toxicity_table(table(spark, "/root/testdata/sf0.1", "documents"), labels).join(labels, "doc_id").where("held_out").toPandas()
@@ -114,11 +160,13 @@ def test_viterbi_is_the_best_path(model):
 
 
 def test_language_of_odd_rows(spark, model):
-    assert [r[0] for r in model.label([None, "", "12 !?", "ΑΒΓ"])][:3] == ["und"] * 3
+    assert [r[:2] for r in model.label([None, "", "12 !?", "²½ Ⅷ ①", "__ _ ٣", "ΑΒΓ"])][:5] == [("und", 0.0)] * 5
     got = langid.language_table(odd(spark).withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in got} == {"und"} and {r.score for r in got} == {0.0}
     assert langid.label(odd(spark), model).columns == ["doc_id", "text", "source", "lang_pred", "score", "spans"]
     assert langid.label(odd(spark, []), model).count() == 0
+    long = "the cat and the dog were here with that thing " * 60_000
+    assert langid.label(odd(spark, [(1, long, None)]), model).first().lang_pred == "en"
 
 
 def test_language_sample_of_repeated_texts(spark, monkeypatch):

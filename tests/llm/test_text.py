@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cragline.llm import bpe, lines, mixing
@@ -49,9 +50,36 @@ def test_encode_frames(spark, theirs):
     assert bpe.encode_digests(docs(spark), PATH).count() == 0
 
 
+def test_encoding_of_all_documents_is_the_librarys(spark, theirs):
+    """The query on every whole text of a table, against the library."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in bpe.encode_digests(table, PATH).collect()}
+    rows = table.collect()
+    assert len(rows) == len(got)
+    digest = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
+    for r in rows:
+        ids = theirs.encode(r.text or "", add_special_tokens=False).ids
+        one = got[r.doc_id]
+        assert (one.n_tokens, one.ids_sha256, one.decoded_sha256) == (len(ids), digest(",".join(map(str, ids))), digest(theirs.decode(ids, skip_special_tokens=False))), r.doc_id
+
+
 LONG = "one two three four five six"
 
 
+def test_lines_of_long_texts_and_clashing_names(spark):
+    """A text of two hundred thousand lines, most of which go, and columns with the names that the operator uses inside."""
+    line = "this line stands in many sites at once"
+    rows = [(i, f"{line}\nown line {i}", f"s{i}") for i in range(4)] + [(9, "\n".join([line, "kept"] * 100_000), "s9")]
+    clash = [F.lit(1).alias(c) for c in ("_gone", "_id", "_k", "_key", "k", "gone", "row", "pos", "site", "h1", "n_removed")]
+    df = docs(spark, *rows).select("doc_id", "text", "source", *clash)
+    got = {r.doc_id: r for r in lines.remove_boilerplate(df).collect()}
+    assert got[9].n_removed == 100_000 and got[9].text == "\n".join(["kept"] * 100_000) and got[0].text == rows[0][1]
+    assert all(r._gone == r._id == r._key == r.k == r.row == r.site == 1 for r in got.values())
+    assert lines.without_boilerplate(df).columns == df.columns and mixing.mix(df).columns == df.columns
+    sizes = docs(spark, *rows).select("doc_id", "text", "source", *(F.lit(7).alias(c) for c in (*mixing.ADDED, "row", "_draw")))
+    assert all(r.size == r.target == r.taken == r.row == 7 for r in mixing.mix(sizes).collect())
+
+
 def test_boilerplate_lines(spark):
     rows = [(i, f"own words number {i} in this line\n{LONG}", f"s{i}") for i in range(5)] + [(9, f"{LONG}\n{LONG}", None), (None, LONG, "s9"), (7, None, "s1"), (8, "", "s1")]
     rows += [(20 + i, "short line\nonly two sites have this line", f"s{i % 2}") for i in range(6)]
