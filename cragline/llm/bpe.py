@@ -15,7 +15,7 @@ have any name, those this operator adds excepted.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 from typing import Any
 
@@ -28,10 +28,13 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-#: Entries that a worker's memories of words, pieces and pairs hold at most.
-MEMORY_WORDS, MEMORY_PAIRS = 400_000, 500_000
+#: Entries that a worker's memories of pieces and pairs hold at most.
+MEMORY_PIECES, MEMORY_PAIRS = 300_000, 300_000
+#: Characters of a text that are cut into pieces at a time.
+PART_CHARS = 1_000_000
 #: The pre-tokenizer's pattern: contractions, letters, numbers, other signs, white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+LONE_SPACE = regex.compile(r"(?<=\P{White_Space}) (?=\P{White_Space})")
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,26 +54,29 @@ def load_vocabulary(path: str) -> dict[str, Any]:
     return {"tokens": {raw(s): i for s, i in data["model"]["vocab"].items()}, "merges": [(raw(a), raw(b)) for a, b in merges], "special": {t["content"]: t["id"] for t in data["added_tokens"]}}
 
 
-class Unplain(Exception):
-    """A word next to other white space than one space: its text is cut by the pattern as a whole."""
-
-
-class Words(dict):
-    """Word -> ids of the word with one space before it."""
+class Pieces(dict):
+    """Piece -> its ids."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise Unplain
-        ids = self.codec.by_pattern(" " + word, self.codec.piece_anew)  # kept here alone
-        if len(self) < MEMORY_WORDS and "\n" not in word:
-            self[word] = ids
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.codec.piece(piece)
+        if len(self) < MEMORY_PIECES and len(piece) < 64:
+            self[piece] = ids
         return ids
 
 
+def parts(text: str) -> Iterator[str]:
+    """text in parts of about PART_CHARS characters. Each begins with a lone space, where a piece always begins."""
+    start = 0
+    while len(text) - start > PART_CHARS and (cut := LONE_SPACE.search(text, start + PART_CHARS)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:] if start else text
+
+
 class Codec:
     """Encodes and decodes text with one vocabulary. Ranks 0-255 are bytes; then merges, in order."""
 
@@ -95,8 +101,7 @@ class Codec:
         self.special = vocabulary["special"]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words = Words(self)
+        self.pieces = Pieces(self)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether left and right side by side stay as they are.
@@ -104,16 +109,6 @@ class Codec:
         The merges that made both are undone, latest first. Had a pair at the border been able to
         merge before the later of the two merges beside it was made, it would have.
         """
-        key = left << 20 | right
-        known = self.pairs.get(key)
-        if known is None:
-            known = self._compatible(left, right)
-            if len(self.pairs) >= MEMORY_PAIRS:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
-
-    def _compatible(self, left: int, right: int) -> bool:
         before = len(self.halves)
         while True:
             if self.joined.get(left << 20 | right, before) < before:
@@ -125,43 +120,35 @@ class Codec:
             else:  # of two equal tokens the left one is made first
                 before, right = right + 1, self.halves[right][0]
 
+    def known(self, left: int, right: int) -> bool:
+        """``compatible``, and remembered."""
+        if len(self.pairs) >= MEMORY_PAIRS:
+            self.pairs.clear()
+        fits = self.pairs[left << 20 | right] = self.compatible(left, right)
+        return fits
+
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one piece, of which the pattern makes no two."""
-        ids = self.pieces.get(text)
-        if ids is None:
-            ids = self.piece_anew(text)
-            if len(self.pieces) < MEMORY_WORDS and len(text) < 64:
-                self.pieces[text] = ids
-        return ids
-
-    def piece_anew(self, text: str) -> tuple[int, ...]:
-        return self._piece(text.encode("utf-8", "surrogatepass").decode("latin-1"))
-
-    def _piece(self, raw: str) -> tuple[int, ...]:
-        last, starts, compatible = [-1] * (len(raw) + 1), [0] * (len(raw) + 1), self.compatible
-        for end, (token, size) in self.automaton.iter(raw):
-            end += 1
-            if last[end] < 0 and (end == size or compatible(last[end - size], token)):
-                last[end], starts[end] = token, end - size
-        ids, at = [], len(raw)
-        while at:
+        raw = text.encode("utf-8", "surrogatepass").decode("latin-1")
+        last, starts, pair, done = [0] * len(raw), [0] * len(raw), self.pairs.get, -1
+        for end, (token, size) in self.automaton.iter(raw):  # ends in order, longest match first
+            if end == done:
+                continue
+            before = end - size
+            if before >= 0:
+                fits = pair(last[before] << 20 | token)
+                if not (self.known(last[before], token) if fits is None else fits):
+                    continue
+            last[end], starts[end], done = token, before, end
+        ids, at = [], len(raw) - 1
+        while at >= 0:
             ids.append(self.id_of[last[at]])
             at = starts[at]
         return tuple(reversed(ids))
 
-    def by_pattern(self, text: str, piece: Callable[[str], tuple[int, ...]] | None = None) -> tuple[int, ...]:
-        found, piece = PIECES.findall(text), piece or self.piece
-        return piece(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(piece, found)))
-
     def ordinary(self, text: str) -> list[int]:
-        """Ids of text without special strings. A space before a word always begins a piece, so words are looked up one by one."""
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            try:
-                return [*self.by_pattern(first), *chain.from_iterable(map(self.words.__getitem__, rest))]
-            except Unplain:
-                pass
-        return [*self.by_pattern(text)]
+        """Ids of text without special strings."""
+        return [*chain.from_iterable(map(self.pieces.__getitem__, chain.from_iterable(map(PIECES.findall, parts(text)))))]
 
     def encode(self, text: str) -> list[int]:
         if self.cut is None or not any(s in text for s in self.special):
