@@ -41,6 +41,14 @@ def test_encoding_of_odd_texts(own, theirs, text):
     assert own.encode(text) == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_cut_only_where_pieces_begin(own, theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_CHARS", 5)
+    for text in ["it's  a \n line of 12 words,  and\u3000more ", "nospaceatallinthistext", "a b c d e f g  h", "one two\x1c three\u0085 four   "]:
+        assert "".join(bpe.parts(text)) == text
+        assert own.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+    assert len(list(bpe.parts("one two three four five"))) > 1
+
+
 def test_encode_frames(spark, theirs):
     df = docs(spark, (1, "hello world", "a"), (1, "hello world", "a"), (None, None, None), (2, "", "b")).withColumnRenamed("lang", "ids")
     got = {(r.doc_id, tuple(r.ids)) for r in bpe.encode(df, PATH).collect()}
