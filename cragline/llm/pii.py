@@ -95,6 +95,7 @@ def base_spans(text: str) -> list[Span]:
 LETTERS = "abcdefghijklmnopqrstuvwxyz@._%+-()[]{}<>:;,/\\'\"!?#*&=|$"
 #: Windows are read WINDOW characters long, each STEP after the one before; LEARNED is the length of those learned from.
 EMBED, HIDDEN, WINDOW, STEP, LEARNED, BATCH = 12, 20, 512, 448, 128, 1024
+TILE = 256  # windows of a batch that lie side by side in one product
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further of each kind
 
 
@@ -121,6 +122,44 @@ def encode(text: str) -> np.ndarray:
     return symbol_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
+@lru_cache(maxsize=1)
+def fast_tanh() -> bool:
+    """Whether numpy takes tanh by vectors of 512 bits; narrower ones cost it nearly twice as much as exp."""
+    found = np.lib.introspect.opt_func_info(func_name="^tanh$", signature="float32")
+    return any("AVX512" in x["current"] for by in found.values() for x in by.values())
+
+
+def cell_by_tanh(z: np.ndarray, c: np.ndarray, y: np.ndarray, h: np.ndarray) -> None:
+    """A step of LSTM cells in place: z has half of what goes into the gates and all of the new values, h gets twice the states; y is scratch."""
+    f, i, o, a = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    np.tanh(z, out=z)
+    z[:, : 3 * HIDDEN] += 1
+    i *= a
+    c *= f
+    c += i
+    c *= 0.5
+    np.multiply(o, np.tanh(c, out=y), out=h)
+
+
+def cell_by_exp(z: np.ndarray, c: np.ndarray, y: np.ndarray, h: np.ndarray) -> None:
+    """The same with tanh(x) as 2 / (1 + exp(-2x)) - 1: z has gates negated and new values times -2, c is -2 times the memory, h gets half the states."""
+    f, i, o, a = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    with np.errstate(over="ignore"):  # 1 / (1 + infinity) is right
+        np.exp(z, out=z)
+        z += 1
+        np.reciprocal(z[:, : 3 * HIDDEN], out=z[:, : 3 * HIDDEN])
+        np.divide(-4, a, out=a)
+        a += 2
+        i *= a
+        c *= f
+        c += i
+        np.exp(c, out=y)
+    y += 1
+    np.reciprocal(y, out=y)
+    y -= 0.5
+    np.multiply(o, y, out=h)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -174,34 +213,41 @@ class Tagger:
     def quick_scores(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """``scores`` of windows of falling length, without what training needs: (length, TAGS, n), beyond a window's end without meaning.
 
-        Windows lie along the last axis, so that a step is one product of weights with states and symbols side by side and every
-        gate is a block of its own. Gates are read as 1 + tanh, the halves of which are in the weights.
+        Windows lie along the last axis, in tiles of TILE, so that a step is one product of weights with states and symbols side by side
+        for each tile, every gate is a block of its own, and a step stays in the cache. The product's last rows are the scores of the
+        step before. The weights have the factors with which the cells want their gates and give their states.
         """
         kind, n, steps = self.p["embed"].dtype.type, len(ids), ids.shape[1]
+        cell, gate, fresh, state = (cell_by_tanh, 0.5, 1, 0.5) if fast_tanh() else (cell_by_exp, -1, -2, 2)
         live = n - np.searchsorted(lengths[::-1], np.arange(steps), "right")
-        at, out, symbols = np.ascontiguousarray(ids.T, np.intp), np.zeros((steps, TAGS, n), kind), np.ascontiguousarray(self.p["embed"].T)
-        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], kind), HIDDEN)[:, None]
+        tiles = -(-n // TILE)
+        at, out = np.zeros((steps, tiles * TILE), np.intp), np.empty((steps, TAGS, tiles * TILE), kind)
+        at[:, :n] = ids.T
+        by_tile, symbols = out.reshape(steps, TAGS, tiles, TILE).transpose(0, 2, 1, 3), np.ascontiguousarray(self.p["embed"].T)
+        factors = np.repeat(np.array([gate, gate, gate, fresh], kind), HIDDEN)[:, None]
         for k, d in enumerate("fb"):
-            weights = np.concatenate([self.p[f"h{d}"].T * kind(0.5), self.p[f"x{d}"].T, self.p[f"c{d}"][:, None]], 1) * half
-            last = np.ascontiguousarray(self.p["out"][k * HIDDEN : (k + 1) * HIDDEN].T) * kind(0.5)
-            x, z = np.zeros((weights.shape[1], n), kind), np.empty((len(weights), n), kind)
-            h, e, c, y = x[:HIDDEN], x[HIDDEN:-1], np.zeros((HIDDEN, n), kind), np.empty((HIDDEN, n), kind)
-            x[-1] = 1
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                m = live[t]
-                symbols.take(at[t], 1, e, "clip")
-                g = np.matmul(weights, x[:, :m], out=z[:, :m])
-                np.tanh(g, out=g)
-                g[: 3 * HIDDEN] += kind(1)
-                now = c[:, :m]
-                now *= g[:HIDDEN]
-                g[HIDDEN : 2 * HIDDEN] *= g[3 * HIDDEN :]
-                now += g[HIDDEN : 2 * HIDDEN]
-                now *= kind(0.5)
-                np.multiply(g[2 * HIDDEN : 3 * HIDDEN], np.tanh(now, out=y[:, :m]), out=h[:, :m])
-                out[t, :, :m] += last @ h[:, :m]
-        out += self.p["out_b"][:, None]
-        return out
+            gates = np.concatenate([self.p[f"h{d}"].T * kind(state), self.p[f"x{d}"].T, self.p[f"c{d}"][:, None]], 1) * factors
+            tags = np.concatenate([self.p["out"][k * HIDDEN : (k + 1) * HIDDEN].T * kind(state), np.zeros((TAGS, EMBED), kind), self.p["out_b"][:, None] * kind(d == "f")], 1)
+            weights = np.concatenate([gates, tags])
+            x, z = np.zeros((tiles, weights.shape[1], TILE), kind), np.empty((tiles, len(weights), TILE), kind)
+            c, y = np.zeros((tiles, HIDDEN, TILE), kind), np.empty((tiles, HIDDEN, TILE), kind)
+            x[:, -1] = 1
+            before = done = 0  # the step before, and how many tiles it had
+            for t in [*(range(steps) if d == "f" else range(steps - 1, -1, -1)), None]:
+                q = 0 if t is None else -(-live[t] // TILE)
+                for j in range(q):
+                    symbols.take(at[t, j * TILE : (j + 1) * TILE], 1, x[j, HIDDEN:-1], "clip")
+                np.matmul(weights, x[: max(q, done)], out=z[: max(q, done)])
+                if d == "f":
+                    by_tile[before, :done] = z[:done, 4 * HIDDEN :]
+                else:
+                    by_tile[before, :done] += z[:done, 4 * HIDDEN :]
+                if q:
+                    cell(z[:q, : 4 * HIDDEN], c[:q], y[:q], x[:q, :HIDDEN])
+                    if d == "b" and live[t] < q * TILE:  # windows of the last tile that are not yet reached from their ends
+                        x[q - 1, :HIDDEN, live[t] - q * TILE :] = c[q - 1, :, live[t] - q * TILE :] = 0
+                before, done = t, q
+        return out[:, :, :n]
 
     def may_differ(self, s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The windows whose best path may have any tag but outside.
@@ -210,19 +256,25 @@ class Tagger:
         and further, each with the best score of any kind over outside, has runs at least as good.
         """
         step, start = self.steps()
-        at, kind = step[0, 0], s.dtype.type
+        at, kind, n = step[0, 0], s.dtype.type, s.shape[2]
         enter, again, go_on, leave = (kind(x - at) for x in (step[0, 1::2].max(), step[1:, 1::2].max(), max(step[j, 2 * k + 2] for k in range(len(KINDS)) for j in (2 * k + 1, 2 * k + 2)), step[1:, 0].max()))
-        best = lambda t, first: s[t, first::2].max(0) - s[t, 0]
-        first, further = best(0, 1) + kind(start[1::2].max() - start[0]), np.full(s.shape[2], -np.inf, s.dtype)
-        hit = np.maximum(first, further) > 0
-        for t in range(1, len(s)):
-            m = len(lengths) - np.searchsorted(lengths[::-1], t, "right")  # windows that have a place t
-            run = np.maximum(first, further)[:m]
-            hit[:m] |= run + leave > -1e-3
-            first[:m] = np.maximum(enter, run + again) + best(t, 1)[:m]
-            further[:m] = run + go_on + best(t, 2)[:m]
-            hit[:m] |= (np.maximum(first, further)[:m] > -1e-3) & (t == lengths[:m] - 1)
-        return hit
+        live = [*(n - np.searchsorted(lengths[::-1], np.arange(len(s)), "right")).tolist(), 0]  # windows that have a place t
+        first, run, worth = np.empty(n, kind), np.full(n, -np.inf, kind), np.full(n, -np.inf, kind)
+        for t, m in enumerate(live[:-1]):
+            f, r = first[:m], run[:m]
+            if t:
+                np.maximum(np.add(r, again, out=f), enter, out=f)
+                r += go_on
+            else:
+                f[:] = kind(start[1::2].max() - start[0])
+            f += s[t, 1::2, :m].max(0)
+            r += s[t, 2::2, :m].max(0)
+            np.maximum(r, f, out=r)
+            r -= s[t, 0, :m]
+            on = live[t + 1]  # runs that go back to outside are worth their best end, and those of windows that end here too
+            worth[:on] = np.maximum(worth[:on], r[:on] + leave)
+            worth[on:m] = np.maximum(worth[on:m], r[on:])
+        return worth > -1e-3
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The best tags (n, length); windows end with their padding, which is outside."""
@@ -242,16 +294,24 @@ class Tagger:
         """The best tags (n, length) for scores (length, TAGS, n) of windows of falling length, beyond which they are 0."""
         (step, start), (n_steps, _, n) = self.steps(), s.shape
         step, v = step.astype(s.dtype), np.empty_like(s)
+        free, own = [0, *range(1, TAGS, 2)], range(2, TAGS, 2)  # tags that follow any, and those that follow their own kind only
+        ways, first, again = step[:, free, None], np.array([step[k - 1, k] for k in own])[:, None], np.array([step[k, k] for k in own])[:, None]
         v[0] = s[0] + start.astype(s.dtype)[:, None]
         live = n - np.searchsorted(lengths[::-1], np.arange(n_steps), "right")
         for t in range(1, n_steps):
             m = live[t]
-            np.add((v[t - 1, :, None, :m] + step[:, :, None]).max(0), s[t, :, :m], out=v[t, :, :m])
-        tags, now = np.zeros((n, n_steps), np.int8), np.zeros(0, np.int64)
+            before, now = v[t - 1, :, :m], v[t, :, :m]
+            any_before = (before[:, None] + ways).max(0)
+            now[0], now[1::2] = any_before[0], any_before[1:]
+            np.maximum(before[1::2] + first, before[2::2] + again, out=now[2::2])
+            now += s[t, :, :m]
+        tags, now, into = np.zeros((n, n_steps), np.int8), np.zeros(0, np.int64), np.ascontiguousarray(step.T)
         for t in range(n_steps - 1, -1, -1):
             m, known = live[t], len(now)  # windows that end here begin with their best tag
-            back = (v[t, :, :known] + step[:, now]).argmax(0) if known else now
-            now = np.r_[back, v[t, :, known:m].argmax(0)]
+            if known:
+                now = (v[t, :, :known].T + into[now]).argmax(1)
+            if known < m:
+                now = np.concatenate([now, v[t, :, known:m].argmax(0)])
             tags[:m, t] = now
         return tags
 
@@ -437,6 +497,7 @@ def tagged(texts: Sequence[str], model: Tagger) -> tuple[np.ndarray, np.ndarray]
     begins = np.cumsum(lengths) - lengths
     total = int(lengths.sum())
     symbols = np.concatenate([encode("".join(texts)), np.zeros(WINDOW, np.uint8)])
+    stretches = np.lib.stride_tricks.sliding_window_view(symbols, WINDOW)
     own = [windows(n) for n in lengths.tolist()]
     first = np.concatenate([b + w for b, w in zip(begins, own, strict=True)]) if own else np.zeros(0, np.int64)
     ends = np.repeat(begins + lengths, [len(w) for w in own])
@@ -448,7 +509,7 @@ def tagged(texts: Sequence[str], model: Tagger) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(-size, kind="stable")  # windows of a length together, so that few places are padding
     for i in range(0, len(order), BATCH):
         w = order[i : i + BATCH]
-        ids = symbols[first[w, None] + place]
+        ids = stretches[first[w]]
         ids[place >= size[w, None]] = 0
         found = model.decode(ids)
         for r in np.flatnonzero(found.any(1)):

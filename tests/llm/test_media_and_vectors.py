@@ -123,6 +123,22 @@ def test_gradients():
         assert np.isclose((side[0] - side[1]) / 2e-5, g[name][at], rtol=1e-3, atol=1e-4), name
 
 
+@pytest.mark.parametrize("fast", [True, False])
+def test_quick_scores_are_those_of_training(monkeypatch, fast):
+    """Windows of many lengths over several tiles; without tanh where numpy would take it value by value."""
+    m = pii.Tagger(2)
+    rng = np.random.default_rng(4)
+    lengths = -np.sort(-np.r_[rng.integers(1, 40, 598), 40, 40])
+    ids = np.where(np.arange(40) < lengths[:, None], rng.integers(1, pii.SYMBOLS, (600, 40)), 0)
+    want = m.scores(ids).transpose(0, 2, 1)
+    monkeypatch.setattr(pii, "fast_tanh", lambda: fast)
+    if not fast:
+        monkeypatch.setattr(np, "tanh", None)
+    got = m.quick_scores(ids, lengths)
+    live = np.broadcast_to((ids.T > 0)[:, None], want.shape)
+    assert got.shape == want.shape and np.allclose(got[live], want[live], atol=1e-6)
+
+
 def test_the_network_finds_what_patterns_miss(spark):
     m = pii.default_tagger()
     test = pii.made_samples(300, 77)
