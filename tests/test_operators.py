@@ -219,3 +219,12 @@ def test_large_numbers_and_wide_ranges(spark):
     got = sorted((r.i, r.j) for r in overlap_join(f, b, "key", ("a", "b"), ("c", "d")).collect())
     assert time.perf_counter() - began < 10
     assert got == sorted((r.i, r.j) for r in f.crossJoin(b.drop("key")).where("c <= b AND d >= a").collect())
+
+
+def test_coverage_broadcasts_nothing_and_keeps_all_functions(spark):
+    b = blocks(spark, (5, 5, 1, 3), (10, 10, 1, 0))
+    f = spark.createDataFrame([("m/a.go", 1, 1, 20), ("m/a.go", 1, 9, 400), (None, 2, 1, 20), (None, 3, 1, 20), ("m/a.go", 4, 7, 6), ("m/a.go", 5, None, None)], "profile_path string, func_id int, start_line int, end_line int")
+    got = metrics.method_coverage(f, b)
+    assert "Broadcast" not in plan(got)
+    assert sorted((r.func_id, r.start_line or 0, r.coverage) for r in got.collect() if r.coverage is not None) == [(1, 1, 0.5), (1, 9, 0.0)]
+    assert sorted(r.func_id for r in got.collect()) == [1, 1, 2, 3, 4, 5]
