@@ -24,6 +24,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The facts that a function's complexity is counted from.
+COUNTED = ("funcs.has_body", "funcs.decisions.line")
+
+
 def query(sql: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -137,7 +141,7 @@ def cyclomatic_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
         times("\tswitch x {\n\tcase 1, 2:\n\t\tx++\n\tdefault:\n\t}\n", n(2)), "\t_ = x == 1", times(" && x == 2 || x == 3", F.floor(n(5) / 2)), times(" || x == 4", n(5) % 2), "\n",
         times("\tgo func() {\n\t\tif x > 1 {\n\t\t\tfor {\n\t\t\t}\n\t\t}\n\t\tselect {\n\t\tdefault:\n\t\t}\n\t}()\n", (n(7) == 0).cast("int")), "\treturn x\n}\n",
     )
-    return functions(parse_files(files(read(spark, sf_dir, "part"), part_path(), body, "p_partkey"))).select("path", "display_name", "cc")
+    return functions(parse_files(files(read(spark, sf_dir, "part"), part_path(), body, "p_partkey"), "funcs.display_name", *COUNTED)).select("path", "display_name", "cc")
 
 
 @query("""
@@ -150,7 +154,7 @@ def nesting_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = F.when((v == 0) & (d > 0), F.lit(" else if x > 9 {\n\tx++\n}")).otherwise(F.when(d > 0, F.lit(" else {\n\tx++\n}")).otherwise(F.lit("")))
     inner = F.when(d > 0, text(times("for {\n", d - 1), "if x > 0 {\nx--\n}", chain, "\n", times("}\n", d - 1))).otherwise(F.lit(""))
     body = text("func (t *T) F", F.col("p_partkey"), "(x int) {\n", inner, "L:\nfor {\nbreak L\n}\nfunc() {\nfor {\nfor {\nfor {\nfor {\nfor {\nfor {\n}\n}\n}\n}\n}\n}\n}()\n}\n")
-    return gates.nesting(parse_files(files(read(spark, sf_dir, "part"), part_path(), body, "p_partkey"))).violations.select("gate", "message")
+    return gates.nesting(parse_files(files(read(spark, sf_dir, "part"), part_path(), body, "p_partkey"), *(f"funcs.{x}" for x in ("ordinal", "display_name", "start_line", "has_body", "nesting")))).violations.select("gate", "message")
 
 
 @query("""
@@ -159,7 +163,7 @@ t AS (SELECT l_suppkey, count(*) AS n, CAST(sum(1 + k) AS BIGINT) AS wmc FROM m
 SELECT 'S' || l_suppkey || ' has ' || n || ' methods > max 25' AS message, CAST(0 AS BIGINT) AS ord FROM t WHERE n > 25
 UNION ALL SELECT 'S' || l_suppkey || ' WMC=' || wmc || ' > max 80', 1 FROM t WHERE wmc > 80""")
 def class_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.class_size(parse_files(method_files(spark, sf_dir))).violations.select("message", (F.col("ord") % 2).alias("ord"))
+    return gates.class_size(parse_files(method_files(spark, sf_dir), *(f"funcs.{x}" for x in ("ordinal", "recv", "has_recv", "start_line")), *COUNTED)).violations.select("message", (F.col("ord") % 2).alias("ord"))
 
 
 def method_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +186,7 @@ def weight_of_class_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "type C", F.col("c_custkey"), " struct {\n\tio.Reader\n\tx, y int\n", times("\tA", (slot("c_custkey", 4) > 0).cast("int")), times(", B", F.greatest(slot("c_custkey", 4) - 1, F.lit(0))), times(" int\n", (slot("c_custkey", 4) > 0).cast("int")),
         "}\nfunc (c C", F.col("c_custkey"), ") hidden() {}\n", F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: i < slot("c_nationkey", 6)), lambda i: text("func (c *C", F.col("c_custkey"), ") M", i, "() {}\n")), ""),
     )
-    s = gates.struct_weights(parse_files(files(c, path, body, "c_custkey")))
+    s = gates.struct_weights(parse_files(files(c, path, body, "c_custkey"), "structs", "funcs.recv", "funcs.has_recv", "funcs.exported"))
     return s.where("fields > 0").select("name", "fields", "methods", (F.col("fields").cast("double") / (F.col("fields") + F.col("methods")).cast("double")).alias("weight")).where(F.col("weight") > gates.MAX_WEIGHT)
 
 
@@ -200,7 +204,7 @@ def unused_code_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_partkey", "l_orderkey")
     use = text("var _ = ", F.when(F.col("l_partkey") % 3 == 0, "f").when(F.col("l_partkey") % 3 == 1, "t").otherwise("v"), F.col("l_partkey"), "\n")
     users = files(uses, text("u", slot("l_partkey", 20), "/use", F.floor(F.col("l_orderkey") / PER_FILE).cast("long"), ".go"), use, "l_orderkey")
-    v = gates.unused_code(parse_files(declared.union(users))).violations
+    v = gates.unused_code(parse_files(declared.union(users), "decls", "names")).violations
     return v.select("message", F.substring_index("path", "/", 1).alias("pkg"))
 
 
@@ -247,7 +251,7 @@ def magic_constants_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexa = F.concat(F.lit("0x"), F.lpad(F.hex(key), 6, "0"))
     body = F.when(k < 3, text("var a", key, " = ", v, "\n")).when(k == 3, text("var a", key, " = ", hexa, "\n")).when(k == 4, text("const a", key, " = f(", v, ") + ", hexa, "\n")).otherwise(text("var a", key, " = map[string]int{", v, ": 1}\n"))
     path = text("o/f", F.floor(key / PER_FILE).cast("long"), ".go")
-    return gates.magic_constants(parse_files(files(read(spark, sf_dir, "orders"), path, body, "o_orderkey"))).violations.select("path", "message")
+    return gates.magic_constants(parse_files(files(read(spark, sf_dir, "orders"), path, body, "o_orderkey"), "literals", "const_lines", "marks")).violations.select("path", "message")
 
 
 @query("""
@@ -260,7 +264,7 @@ def test_assertions_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.when(k == 0, "t.Log(1)").when(k == 1, 't.Errorf("x")').when(k == 2, "q.Fatal(1)").when(k == 3, 't.Run("s", func(tt *testing.T) { tt.Fail() })').when(k == 4, "u.Error(1)").otherwise('panic("x")')
     body = text("func TestE", e, "(", name, " *testing.T) {\n\t", inner, "\n}\nfunc Testing", e, "(t *testing.T) {}\n")
     path = text("t/f", F.floor(e / PER_FILE).cast("long"), "_test.go")
-    return gates.test_assertions(parse_files(files(read(spark, sf_dir, "events").select("event_id"), path, body, "event_id"))).violations.select("message")
+    return gates.test_assertions(parse_files(files(read(spark, sf_dir, "events").select("event_id"), path, body, "event_id"), *(f"funcs.{x}" for x in ("ordinal", "name", "start_line", "has_body", "binds", "calls")))).violations.select("message")
 
 
 # ---------------------------------------------------------------- from Go text and a profile to the report
@@ -289,7 +293,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY crap DESC NULLS LAST, path
 def go_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = text("func F", F.col("p_partkey"), "(x int) int {\n", times("\tif x > 0 {\n\t\tx--\n\t}\n", slot("p_size", 4)), "\treturn x\n}\n")
     n = F.floor(F.col("p_partkey") / PER_FILE).cast("long")
-    return functions(parse_files(files(read(spark, sf_dir, "part"), text("p", n, "/f", n, ".go"), body, "p_partkey")))
+    return functions(parse_files(files(read(spark, sf_dir, "part"), text("p", n, "/f", n, ".go"), body, "p_partkey"), *(f"funcs.{x}" for x in ("ordinal", "display_name", "start_line", "end_line")), *COUNTED))
 
 
 def go_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import pytest
 
+from cragline.golang import shapes, walk
 from cragline.golang.lexer import SyntaxProblem, tokens, unquoted
 from cragline.golang.splice import instrument
 from cragline.golang.walk import file_facts
@@ -92,3 +93,33 @@ def test_identifier_marks_depend_on_order():
 
 def test_instrumentation_inserts_after_braces():
     assert instrument("package p\nfunc (t T) A() { x() }\nfunc b()\n", "a.go", "S({key},{name})") == "package p\nfunc (t T) A() {S(a.go,(T)A); x() }\nfunc b()\n"
+
+
+HEAD = 'package p\nimport "testing"\n'
+PIECES = [
+    'func TestX(q *testing.T) { q.Fatal(1); f(func(u *testing.T) { u.Error("x") }); panic(1) }\n', "func (s *S) Do(x int) (r int) {\n\tif x > 0 && x < 3 || x == 1.e5 {\n\t\tfor i := range x { m[\"key1\"] = \"val1\" }\n\t}\n\treturn\n}\n",
+    "type S struct { A, b int; pkg.Writer; *T }\ntype G[K any] struct{ m []K }\n", 'const (\n\tc = 0xFF00FF\n\td = "abc" // no "name\n)\n', "var a, B = 1, 'x'\nfunc ext()\n", "func h() {\n\tswitch y := x.(type) { case int: return }\n\ttype l struct{ a int }\n}\n",
+]
+
+
+@pytest.mark.parametrize("change", [("S", "Zed"), ("Do", "do"), ("q", "T"), ("x", "_"), ("x", "y1"), ("a", "`"), ("}", "/*"), ("{", "{\nfunc "), ("1", "1."), ("x", "é"), ("\n", "\nvar z = 1\n")])
+def test_shapes_give_the_facts_of_a_whole_parse(change):
+    for k in range(len(PIECES) ** 2):
+        text = HEAD + PIECES[k % len(PIECES)] + PIECES[k // len(PIECES)]
+        at = text.find(change[0], len(HEAD) + k)
+        for t in (text, text.replace(*change), text[:at] + change[1] + text[at + 1 :]):
+            assert walk.file_facts(t) == walk.whole_facts(t)
+
+
+def test_a_shape_is_parsed_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(shapes, "Parser", lambda text, parser=shapes.Parser: made.append(text) or parser(text))
+    got = file_facts("package once\n" + "".join(f"func (r *Once{i}) Fn{i}(arg{i} int) {{\n\tif arg{i} > 0 {{\n\t}}\n}}\n" for i in range(300)))
+    assert len(made) <= 2 and [f["display_name"] for f in got["funcs"]] == [f"(Once{i})Fn{i}" for i in range(300)]
+    assert got["funcs"][299]["start_line"] == 2 + 4 * 299 and all(len(f["decisions"]) == 1 for f in got["funcs"])
+
+
+def test_remembered_shapes_are_bounded():
+    for i in range(shapes.MOST + 50):
+        assert file_facts(f"package p\nvar a = {i}\n")["literals"][0]["lexeme"] == str(i)
+    assert len(shapes._known) <= shapes.MOST
