@@ -302,7 +302,8 @@ def go_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("l_linenumber") * 40 + slot("l_orderkey", 60)
     root = F.when(F.col("n") % 2 == 0, F.lit("")).otherwise(F.lit("example.com/m/"))
     line = text(root, "p", F.col("n"), "/f", F.col("n"), ".go:", start, ".1,", start + slot("q", 4), ".2 ", 1 + slot("q", 5), " ", F.when(F.col("l_orderkey") % 3 == 0, F.lit("0")).otherwise(F.lit("1")))
-    return metrics.cover_blocks(li.select(line.alias("line")))
+    # exploded, as a line's text would else be put together anew wherever a filter or column looks at it
+    return metrics.cover_blocks(li.select(F.explode(F.array(line)).alias("line")))
 
 
 @query(FUNCS_SQL + "SELECT path, ordinal, display_name, start_line, cc, coverage, crap FROM scores")

@@ -228,3 +228,21 @@ def test_coverage_broadcasts_nothing_and_keeps_all_functions(spark):
     assert "Broadcast" not in plan(got)
     assert sorted((r.func_id, r.start_line or 0, r.coverage) for r in got.collect() if r.coverage is not None) == [(1, 1, 0.5), (1, 9, 0.0)]
     assert sorted(r.func_id for r in got.collect()) == [1, 1, 2, 3, 4, 5]
+
+
+def test_analysis_reads_its_inputs_once(spark):
+    fs = facts(spark, p__a="package p\nfunc A() {\n}\n", q__b="package q\nfunc B() {\n}\n")
+    lines = spark.createDataFrame([("m/p/a.go:1.1,3.2 1 1",), ("q/b.go:2.1,3.2 1 0",)], "line string").repartition(2)
+    got = metrics.analyze(functions(fs), metrics.cover_blocks(lines))
+    assert sorted((r.path, r.coverage) for r in got.collect()) == [("p/a.go", 1.0), ("q/b.go", 0.0)]
+    assert plan(got).split("Initial Plan")[0].count("MapInArrow") == 1
+
+
+def test_facts_can_be_chosen(spark):
+    rows = spark.createDataFrame([("a.go", "package p\nfunc (t T) A() {\n\tif x {\n\t}\n}\n")], "path string, content string")
+    got = parse_files(rows, "funcs.recv", "funcs.has_body", "funcs.decisions.line", "names")
+    assert [tuple(r) for r in functions(got).select("recv", "cc").collect()] == [("T", 2)] and "literals" not in got.columns and "nesting" not in functions(got).columns
+    with pytest.raises(ValueError):
+        parse_files(rows, "funcs.nothing")
+    with pytest.raises(ValueError):
+        parse_files(rows, "nothing")
