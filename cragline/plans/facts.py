@@ -41,6 +41,22 @@ def _kept(kind: T.DataType, names: Sequence[str]) -> T.DataType:
     return T.StructType([T.StructField(f.name, _kept(f.dataType, [n.split(".", 1)[1] for n in names if n.startswith(f.name + ".")]), f.nullable) for f in kind if f.name in heads])
 
 
+def fact_batches(batches: Iterator[pa.RecordBatch], want: frozenset[str], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Facts of batches of files (path, content), in batches of about ``TEXT`` characters of text or one file."""
+    rows, held = [], 0
+    for batch in batches:
+        paths, texts = batch.column(0), batch.column(1)
+        for i in range(batch.num_rows):
+            text = texts[i].as_py()
+            rows.append({"path": paths[i].as_py()} | file_facts(text, want))
+            held += len(text or "") + 100
+            if held >= TEXT:
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, arrow)
+
+
 def parse_files(files: DataFrame, *families: str) -> DataFrame:
     """files (path, content) with a row of facts each; of the families all, or the named ones, as "decls", or of one the fields named, as "funcs.name".
 
@@ -53,21 +69,7 @@ def parse_files(files: DataFrame, *families: str) -> DataFrame:
     schema = _kept(every, [*(f.name for f in every if f.name not in FAMILIES), *(families or sorted(FAMILIES))])
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
-        for batch in batches:
-            paths, texts = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
-                rows.append({"path": paths[i].as_py()} | file_facts(text, want))
-                held += len(text or "") + 100
-                if held >= TEXT:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, arrow)
-
-    facts = files.select("path", "content").mapInArrow(run, schema)
+    facts = files.select("path", "content").mapInArrow(lambda batches: fact_batches(batches, want, arrow), schema)
     return facts.withColumns({"pkg_dir": dir_name(F.col("path")), "base": base_name(F.col("path")), "stem": stem(F.col("path"))})
 
 

@@ -1,5 +1,6 @@
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from cragline.functions.globs import to_regex
 from cragline.functions.paths import import_dir, porcelain_path
 from cragline.operators import gates, metrics, profiling
 from cragline.operators.intervals import overlap_join
-from cragline.plans.facts import functions, parse_files
+from cragline.plans.facts import TEXT, fact_batches, functions, parse_files
 
 
 def facts(spark, **files):
@@ -246,3 +247,12 @@ def test_facts_can_be_chosen(spark):
         parse_files(rows, "funcs.nothing")
     with pytest.raises(ValueError):
         parse_files(rows, "nothing")
+
+
+def test_facts_are_made_for_a_bounded_amount_of_text():
+    texts = ["package p\n" + f"func Name{i}() {{}}\n" * 400 for i in range(300)]
+    batch = pa.RecordBatch.from_pylist([{"path": str(i), "content": t} for i, t in enumerate(texts)])
+    schema = pa.schema([("path", pa.string()), ("funcs", pa.list_(pa.struct([("name", pa.string())])))])
+    got = list(fact_batches(iter([batch]), frozenset(["funcs"]), schema))
+    assert sum(b.num_rows for b in got) == 300 and [p for b in got for p in b.column(0).to_pylist()] == [str(i) for i in range(300)]
+    assert max(sum(len(texts[int(p)]) for p in b.column(0).to_pylist()) for b in got) <= TEXT + len(texts[-1])
