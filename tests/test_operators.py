@@ -256,3 +256,11 @@ def test_facts_are_made_for_a_bounded_amount_of_text():
     got = list(fact_batches(iter([batch]), frozenset(["funcs"]), schema))
     assert sum(b.num_rows for b in got) == 300 and [p for b in got for p in b.column(0).to_pylist()] == [str(i) for i in range(300)]
     assert max(sum(len(texts[int(p)]) for p in b.column(0).to_pylist()) for b in got) <= TEXT + len(texts[-1])
+
+
+def test_scores_deal_the_profile_out_twice(spark):
+    f = spark.createDataFrame([("a.go", i, f"F{i}", 1 + 10 * i, 5 + 10 * i, 2, True) for i in range(3)], "path string, ordinal int, display_name string, start_line int, end_line int, cc int, has_body boolean")
+    got = metrics.analyze(f, blocks(spark, (1, 5, 1, 1), (11, 12, 2, 0), path="m/a.go"))
+    assert sorted((r.ordinal, r.coverage) for r in got.collect()) == [(0, 1.0), (1, 0.0), (2, None)]
+    final = plan(got).split("Initial Plan")[0]
+    assert final.count("ReusedExchange") >= 1
